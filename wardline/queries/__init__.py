@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection"]
+MODULES = ["detection", "ledgering"]
 
 
 def load() -> None:

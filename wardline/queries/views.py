@@ -98,12 +98,12 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW = """
 lines as (
-  select event_id as line_no, user_id, event_type, value, k, at, (epoch_us(ts) * 1000)::bigint as time,
+  select event_id as line_no, user_id, event_type, value, k, stamp, (epoch_us(ts) * 1000)::bigint as time,
     case when event_id % 50 = 7 then 'bad_number' when event_id % 50 = 8 then 'bad_time'
          when event_id % 50 = 9 then 'not_json' when event_id % 50 = 10 then 'blank' else 'ok' end as shape,
-    '{"createdDateTime":"' || at || 'Z","extra":{"k":' || k || '},"kind":"' || event_type || '","status":{"errorCode":'
+    '{"createdDateTime":"' || stamp || 'Z","extra":{"k":' || k || '},"kind":"' || event_type || '","status":{"errorCode":'
       || (event_id % 7) || ',"note":"n' || (user_id % 3) || '"},"userId":"u' || user_id || '"}' as canonical
-  from (select *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as at, json_extract_string(props, '$.k')::bigint as k from events)
+  from (select *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as stamp, json_extract_string(props, '$.k')::bigint as k from events)
 )"""
 
 
