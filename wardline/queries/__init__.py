@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "ledgering"]
+MODULES = ["detection", "ledgering", "scoring"]
 
 
 def load() -> None:

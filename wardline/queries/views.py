@@ -119,3 +119,113 @@ stored as (
   select *, 'sha256:' || sha256('{"actor_user_uid":"' || actor_user_uid || '","event_id":' || event_id || ',"time":' || time || '}') as evidence_id
   from auth
 )"""
+
+# --------------------------------------------------------------------------- orders and lineitem as cases and claims
+
+CLAIM_PREDICATES = [
+    "AUTH_FAILED_BURST",
+    "AUTH_SUCCEEDED_AFTER_FAILURES",
+    "AUTH_FROM_NEW_ASN",
+    "TOKEN_REPLAYED",
+    "TRAVEL_IMPOSSIBLE",
+    "INTERPRETER_SPAWNED_BY",
+    "ENCODED_COMMAND",
+    "INTERPRETER_NETWORK_EGRESS",
+    "CONNECTED_TO_INDICATOR",
+    "RDP_INTERNAL_FIRST_TIME",
+    "PERSISTENCE_INSTALLED",
+    "NOT_YET_PRICED",
+]
+_PREDS = ", ".join(f"'{p}'" for p in CLAIM_PREDICATES)
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a case; 25 tenants; orders with key divisible by 9 have no claims."""
+    return table(spark, sf_dir, "orders").select(
+        F.expr("concat('case-', o_orderkey)").alias("case_id"),
+        F.expr("concat('tenant-', o_orderkey % 25)").alias("tenant_id"),
+        F.expr("o_orderkey div 25").alias("closed_seq"),
+        F.expr("concat('inv-', o_orderkey)").alias("investigation_id"),
+        F.expr("if(o_orderkey % 2 = 0, 'policy.v1', 'policy.v2')").alias("policy_version"),
+        nanos("o_orderdate").alias("started_at_ns"),
+        (nanos("o_orderdate") + F.expr("o_orderkey % 1000 * 1000000000L")).alias("completed_at_ns"),
+        F.expr("named_struct('provider', 'local', 'model_id', concat('m', o_orderkey % 3), 'weights_digest', '', 'seed', cast(null as bigint))").alias("inference"),
+        F.expr("named_struct('tool_calls', o_orderkey % 24, 'turns', o_orderkey % 10)").alias("budget_consumed"),
+    )
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 9 <> 0").withColumn("start", nanos("l_shipdate"))
+    return li.selectExpr(
+        "concat('case-', l_orderkey) as case_id",
+        "l_orderkey",
+        "l_linenumber as claim_seq",
+        f"element_at(array({_PREDS}), cast(l_partkey % 12 as int) + 1) as predicate",
+        "concat('part:', l_partkey) as subject",
+        "if(l_suppkey % 10 = 0, null, concat('supplier:', l_suppkey)) as object",
+        "start as interval_start_ns",
+        "start + cast(l_quantity as bigint) * 1000000000L as interval_end_ns",
+        "if(l_quantity = 1, cast(array() as array<string>), array(concat('ev-', l_suppkey), concat('ev-', l_partkey % 97))) as evidence",
+        "if(l_returnflag = 'R', 'model', 'rule') as extractor_kind",
+        "'lineitem' as extractor_id",
+        "'1' as extractor_version",
+        "if(l_linenumber = 7, null, cast(l_quantity as bigint)) as observed_value",
+        "if(l_discount > 0.07D, 'refutes', 'supports') as polarity",
+        "case l_linenumber % 3 when 0 then 'H1' when 1 then 'H2' end as hypothesis_ref",
+    )
+
+
+CASES = """
+cases as (
+  select 'case-' || o_orderkey as case_id, 'tenant-' || (o_orderkey % 25) as tenant_id, o_orderkey // 25 as closed_seq,
+    'inv-' || o_orderkey as investigation_id, case when o_orderkey % 2 = 0 then 'policy.v1' else 'policy.v2' end as policy_version,
+    epoch_us(o_orderdate) * 1000 as started_at_ns, epoch_us(o_orderdate) * 1000 + o_orderkey % 1000 * 1000000000 as completed_at_ns,
+    '{"provider":"local","model_id":"m' || (o_orderkey % 3) || '","weights_digest":"","seed":null}' as inference,
+    '{"tool_calls":' || (o_orderkey % 24) || ',"turns":' || (o_orderkey % 10) || '}' as budget_consumed, o_orderkey
+  from orders
+)"""
+
+CLAIMS = f"""
+claims_raw as (
+  select 'case-' || l_orderkey as case_id, l_orderkey, l_linenumber as claim_seq,
+    ([{_PREDS}])[(l_partkey % 12)::int + 1] as predicate, 'part:' || l_partkey as subject,
+    case when l_suppkey % 10 = 0 then null else 'supplier:' || l_suppkey end as object,
+    epoch_us(l_shipdate) * 1000 as interval_start_ns, epoch_us(l_shipdate) * 1000 + l_quantity::bigint * 1000000000 as interval_end_ns,
+    case when l_quantity = 1 then []::varchar[] else ['ev-' || l_suppkey, 'ev-' || (l_partkey % 97)] end as evidence,
+    case when l_returnflag = 'R' then 'model' else 'rule' end as extractor_kind, 'lineitem' as extractor_id, '1' as extractor_version,
+    case when l_linenumber = 7 then null else l_quantity::bigint end as observed_value,
+    case when l_discount > 0.07::double then 'refutes' else 'supports' end as polarity,
+    case l_linenumber % 3 when 0 then 'H1' when 1 then 'H2' end as hypothesis_ref
+  from lineitem where l_orderkey % 9 <> 0
+),
+claims as (
+  select *, sha256('{{"predicate":"' || predicate || '","subject":"' || subject || '","object":' || coalesce('"' || object || '"', 'null')
+    || ',"interval_start_ns":' || interval_start_ns || ',"interval_end_ns":' || interval_end_ns
+    || ',"evidence":[' || case when len(evidence) = 0 then '' else '"' || array_to_string(list_sort(evidence), '","') || '"' end
+    || '],"extractor_kind":"' || extractor_kind || '","extractor_id":"' || extractor_id || '","extractor_version":"' || extractor_version
+    || '","observed_value":' || coalesce(observed_value::varchar, 'null') || ',"polarity":"' || polarity
+    || '","hypothesis_ref":' || coalesce('"' || hypothesis_ref || '"', 'null') || '}}') as claim_id
+  from claims_raw
+)"""
+
+
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier whose key is divisible by 3 is an indicator, some twice; two corpus versions."""
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
+    entry = "named_struct('predicate', '{p}', 'position', {pos}, 'weight', {w}, 'techniques', {t})"
+    hot = entry.format(p="CONNECTED_TO_INDICATOR", pos="s_suppkey", w="5000L", t="array('T1071.001', 'T1090')")
+    again = entry.format(p="CONNECTED_TO_INDICATOR", pos="s_suppkey + 1000000000L", w="1L", t="cast(array() as array<string>)")
+    other = entry.format(p="ENCODED_COMMAND", pos="s_suppkey", w="2000L + s_suppkey % 4 * 1000L", t="cast(array() as array<string>)")
+    alien = entry.format(p="NOT_YET_PRICED", pos="s_suppkey", w="100L", t="cast(array() as array<string>)")
+    picked = f"filter(array({hot}, {other}, if(s_suppkey % 2 = 0, {again}, null), if(s_suppkey % 21 = 0, {alien}, null)), x -> x is not null)"
+    rows = s.selectExpr("concat('supplier:', s_suppkey) as value", f"inline({picked})")
+    return rows.select(F.lit("corpus.1").alias("corpus_version"), "position", "predicate", "value", "weight", "techniques")
+
+
+INDICATORS = """
+indicators as (
+  select 'corpus.1' as corpus_version, s_suppkey as position, 'CONNECTED_TO_INDICATOR' as predicate, 'supplier:' || s_suppkey as value, 5000 as weight, ['T1071.001', 'T1090'] as techniques from supplier where s_suppkey % 3 = 0
+  union all select 'corpus.1', s_suppkey, 'ENCODED_COMMAND', 'supplier:' || s_suppkey, 2000 + s_suppkey % 4 * 1000, []::varchar[] from supplier where s_suppkey % 3 = 0
+  union all select 'corpus.1', s_suppkey + 1000000000, 'CONNECTED_TO_INDICATOR', 'supplier:' || s_suppkey, 1, []::varchar[] from supplier where s_suppkey % 6 = 0
+  union all select 'corpus.1', s_suppkey, 'NOT_YET_PRICED', 'supplier:' || s_suppkey, 100, []::varchar[] from supplier where s_suppkey % 21 = 0
+)"""
