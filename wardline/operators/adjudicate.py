@@ -141,7 +141,8 @@ def score_groups(cases: DataFrame, groups: DataFrame, policy: Policy, kernel_ver
     The priced groups are moved once, by case; tactics, chain bonus, techniques and the digest of the
     contributing claims are folded from there without another shuffle.
     """
-    keyed = groups.join(cases.select("case_id", "policy_version"), "case_id")
+    cases = cases.select("case_id", "policy_version")
+    keyed = groups.join(cases, "case_id")
     priced = price(keyed, policy.weights, overlay).withColumn("ord", tactic_ordinal(F.col("tactic")))
     key = ["case_id", "policy_version"]
     item = F.concat_ws("|", "predicate", "polarity", "attributed_weight", "claims", "digest")

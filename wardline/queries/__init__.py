@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "ledgering", "scoring"]
+MODULES = ["detection", "ledgering", "scoring", "drifting"]
 
 
 def load() -> None:
