@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "ledgering", "scoring", "drifting"]
+MODULES = ["detection", "ledgering", "scoring", "drifting", "console"]
 
 
 def load() -> None:
