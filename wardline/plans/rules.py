@@ -143,10 +143,32 @@ def cases(events: DataFrame, sources: Mapping[str, Source]) -> DataFrame:
     return events.select(*keys).dropna().distinct()
 
 
-def correlate(rule: Rule, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per case with a struct per source.  ``by`` adds key columns, such as a time window."""
+def partial_aggregates(rule: Rule, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Conditional aggregates of every source on (by, union keys), with the tracked distinct fields as
+    further keys.  All of it can be merged: ``finish`` accepts the rows of a batch or of a stream."""
+    keys = [*by, *rule.union_keys(), *_distinct_fields(rule)]
+    return events.groupBy(*keys).agg(*[c for n, s in sorted(rule.sources.items()) for c in _partials(n, s)])
+
+
+def _distinct_fields(rule: Rule) -> list[str]:
+    union = rule.union_keys()
+    out: list[str] = []
+    for s in rule.sources.values():
+        out += [f for f in s.track_distinct if f not in out and f not in union]
+    return out
+
+
+def finish(rule: Rule, partial: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per case with a struct per source, from partial aggregates.
+
+    Sources are rolled up to their own group fields and joined back; the tracked distinct values are
+    counted as (group, value) rows, folded before the shuffle.
+    """
     keys = [*by, *rule.union_keys()]
-    base = events.groupBy(*keys).agg(*[c for n, s in sorted(rule.sources.items()) for c in _partials(n, s)])
+    finer = bool(_distinct_fields(rule))
+    base = partial
+    if finer:
+        base = partial.groupBy(*keys).agg(*[c for n, s in sorted(rule.sources.items()) for c in _rollup(n, s)])
     out = base.dropna(subset=keys)
     for name, source in sorted(rule.sources.items()):
         own = [*by, *source.group_by]
@@ -155,11 +177,17 @@ def correlate(rule: Rule, events: DataFrame, by: Sequence[str] = ()) -> DataFram
             coarse = base.groupBy(*own).agg(*_rollup(name, source))
             out = out.drop(*mine).join(coarse, own, "left")
         for f in source.track_distinct:
-            scoped = Source(source.where, tuple(own))
-            out = out.join(_distinct_counts(events, name, scoped, f), own, "left")
+            pairs = partial.filter((F.col(f"_{name}__count") > 0) & F.col(f).isNotNull()).select(*own, F.col(f).alias("_value")).distinct()
+            counts = pairs.groupBy(*own).agg(F.count(F.lit(1)).alias(f"_{name}__distinct__{f}"))
+            out = out.join(counts, own, "left")
     return out.select(*keys, *[_pack(n, s) for n, s in sorted(rule.sources.items())])
 
 
+def correlate(rule: Rule, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per case with a struct per source.  ``by`` adds key columns, such as a time window."""
+    return finish(rule, partial_aggregates(rule, events, by), by)
+
+
 def correlate_aggregates(case_rows: DataFrame, aggregates: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Left-join separately computed source aggregates to the cases on the keys each of them has."""
     out = case_rows
@@ -195,9 +223,8 @@ def _with_novelty(rule: Rule, frame: DataFrame, seen: DataFrame, counts: DataFra
     return frame
 
 
-def judged(rule: Rule, events: DataFrame, baseline: tuple[DataFrame, DataFrame] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Cases with their source structs and ``suppress_reason`` (NULL when no clause matches)."""
-    frame = correlate(rule, events, by)
+def judge_frame(rule: Rule, frame: DataFrame, baseline: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Adds novelty booleans and ``suppress_reason`` (NULL when no clause matches) to correlated cases."""
     if rule.novelty:
         if baseline is None:
             raise ValueError(f"rule {rule.id} checks novelty and needs a baseline")
@@ -208,6 +235,10 @@ def judged(rule: Rule, events: DataFrame, baseline: tuple[DataFrame, DataFrame]
     return frame.withColumn("suppress_reason", reason)
 
 
+def judged(rule: Rule, events: DataFrame, baseline: tuple[DataFrame, DataFrame] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return judge_frame(rule, correlate(rule, events, by), baseline)
+
+
 def suppressed(rule: Rule, events: DataFrame, baseline=None) -> DataFrame:
     """Audit output: the cases a suppress clause dropped, with the reason."""
     frame = judged(rule, events, baseline).filter("suppress_reason is not null")
@@ -220,7 +251,12 @@ def evaluate(rule: Rule, events: DataFrame, baseline=None, by: Sequence[str] = (
     ``observed`` is text (integers plain); the group-field struct ``case_key`` and the interval of
     the matched events are kept so a detection can be traced back to its evidence.
     """
-    live = judged(rule, events, baseline, by).filter("suppress_reason is null")
+    return detections_from(rule, judged(rule, events, baseline, by), by)
+
+
+def detections_from(rule: Rule, frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Detections of judged cases."""
+    live = frame.filter("suppress_reason is null")
     names = sorted(rule.sources)
     first = F.least(*[F.col(f"{n}.first_ts") for n in names], F.lit(None).cast("bigint"))
     last = F.greatest(*[F.col(f"{n}.last_ts") for n in names], F.lit(None).cast("bigint"))

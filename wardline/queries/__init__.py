@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["detection", "ledgering", "scoring", "drifting", "console"]
+MODULES = ["detection", "ledgering", "scoring", "drifting", "console", "analytics"]
 
 
 def load() -> None:

@@ -21,7 +21,7 @@ from .views import CASES, CLAIMS, cases as case_keys, claims, nanos, table
 T_LIST = ", ".join(f"'{t}'" for t in TACTICS)
 S_LIST = ", ".join(f"'{s}'" for s in CASE_STATUSES)
 K_LIST = ", ".join(f"'{k}'" for k in RESPONSE_KINDS)
-NOW_MS = 1_000_000_000_000  # inside the span of order dates
+NOW_MS = 896_659_200_000  # 1998-06-01, inside the span of order dates
 
 BOARD = f"""
 board as (
@@ -90,12 +90,12 @@ TILES = f"""{BOARD},
     union all select 'autonomous-close-rate', closed_at_ms, case when closed_by = 'auto' then 100 else 0 end from board where closed_at_ms is not null
     union all select 'drift-alerts', updated_at_ms, 1 from board where disposition = 'malicious'),
   cfg(tile, unit, days, good) as (values ('open-cases', 'count', 1, 'down'), ('mttd', 'duration_s', 7, 'down'), ('mttr', 'duration_s', 7, 'down'), ('autonomous-close-rate', 'percent', 30, 'up'), ('drift-alerts', 'count', 1, 'down')),
-  aged as (select tile, unit, good, m, ({NOW_MS} - at_ms) // (days * 86400000 // 12) as age from pts join cfg using (tile) where at_ms <= {NOW_MS}),
+  aged as (select tile, unit, good, m, ({NOW_MS} - at_ms) // (days::bigint * 86400000 // 12) as age from pts join cfg using (tile) where at_ms <= {NOW_MS}),
   fig as (select tile, unit, good,
       case tile when 'open-cases' then count(*) when 'drift-alerts' then count_if(age < 12) else avg(m) filter (age < 12) end as value,
       case tile when 'open-cases' then count_if(age >= 12) when 'drift-alerts' then count_if(age between 12 and 23) else avg(m) filter (age between 12 and 23) end as baseline,
       case tile when 'open-cases' then count_if(age >= 3) when 'drift-alerts' then count_if(age = 3) else avg(m) filter (age = 3) end as point_3
-    from aged group by all)"""
+    from aged group by tile, unit, good)"""
 
 
 @query(
