@@ -7,13 +7,11 @@ wherever only scores and hashes are needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_json, sha_hex
-from ..session import small
+from ..session import settle, small
 from . import adjudicate as A
 from .identity import corpus_hash, with_claim_id
 
@@ -86,15 +84,24 @@ def match_indicators(claims: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def reprice_conflicts(matches: DataFrame, weights: DataFrame, policy_version: str | None = None) -> DataFrame:
+def _by_predicate(matches: DataFrame, weights: DataFrame, policy_version: str) -> DataFrame:
+    """One row per matched (case, predicate) with its problem, if any; matches fold before the shuffle."""
+    current = weights.filter(F.col("policy_version") == policy_version).select(
+        "predicate", "tactic", F.col("weight").alias("old_weight"), F.col("techniques").alias("old_techniques")
+    )
+    folded = matches.groupBy("case_id", "predicate").agg(
+        F.min("weight").alias("_lo"),
+        F.max("weight").alias("new_weight"),
+        F.max_by("techniques", F.struct("claim_seq", "claim_id")).alias("new_techniques"),
+        F.count(F.lit(1)).alias("matches"),
+    )
+    problem = F.when(F.col("_lo") != F.col("new_weight"), "conflicting_weights").when(F.col("tactic").isNull(), "not_in_policy")
+    return folded.join(small(current), "predicate", "left").withColumn("problem", problem)
+
+
+def reprice_conflicts(matches: DataFrame, weights: DataFrame, policy_version: str) -> DataFrame:
     """Error rows (case_id, predicate, problem): two weights for one predicate, or an unregistered predicate."""
-    if policy_version is not None:
-        weights = weights.filter(F.col("policy_version") == policy_version)
-    by = matches.groupBy("case_id", "predicate").agg(F.min("weight").alias("_lo"), F.max("weight").alias("_hi"))
-    two = by.filter("_lo <> _hi").select("case_id", "predicate", F.lit("conflicting_weights").alias("problem"))
-    known = small(weights.select("predicate").distinct())
-    alien = by.join(known, "predicate", "left_anti").select("case_id", "predicate", F.lit("not_in_policy").alias("problem"))
-    return two.unionByName(alien)
+    return _by_predicate(matches, weights, policy_version).filter("problem is not null").select("case_id", "predicate", "problem")
 
 
 def reprice(matches: DataFrame, weights: DataFrame, policy_version: str) -> DataFrame:
@@ -103,19 +110,13 @@ def reprice(matches: DataFrame, weights: DataFrame, policy_version: str) -> Data
     The tactic comes from the policy.  With equal weights the last match's techniques win; without any
     the policy's stay.  Cases with a conflict are left out whole; ``reprice_conflicts`` lists them.
     """
-    bad = reprice_conflicts(matches, weights, policy_version).select("case_id").distinct()
-    overlay = matches.groupBy("case_id", "predicate").agg(
-        F.max("weight").alias("new_weight"),
-        F.max_by("techniques", F.struct("claim_seq", "claim_id")).alias("new_techniques"),
-        F.count(F.lit(1)).alias("matches"),
-    )
-    current = weights.filter(F.col("policy_version") == policy_version).select(
-        "predicate", "tactic", F.col("weight").alias("old_weight"), F.col("techniques").alias("old_techniques")
-    )
+    rows = _by_predicate(matches, weights, policy_version)
+    # a case has at most one row per predicate, so this window is bounded by the policy
+    bad = F.max(F.col("problem").isNotNull()).over(Window.partitionBy("case_id"))
     techniques = F.when(F.size("new_techniques") > 0, F.col("new_techniques")).otherwise(F.col("old_techniques"))
     return (
-        overlay.join(bad, "case_id", "left_anti")
-        .join(small(current), "predicate")
+        rows.withColumn("_bad", bad)
+        .filter("not _bad")
         .select("case_id", "predicate", "tactic", "old_weight", "new_weight", techniques.alias("new_techniques"), "matches")
     )
 
@@ -135,7 +136,7 @@ def drift_sweep(
     its number of matching claims, and the matching claims themselves are ``responsible_claims`` rows.
     """
     matches = match_indicators(claims, corpus)
-    overlay = reprice(matches, policy.weights, policy_version)
+    overlay = settle(reprice(matches, policy.weights, policy_version))  # small, and used three times
     touched = overlay.select("case_id").distinct()
     again = closed.join(touched, "case_id", "left_semi").select("case_id", F.lit(policy_version).alias("policy_version"))
     if groups is None:
@@ -159,8 +160,12 @@ def drift_sweep(
         F.col("verdict_hash").alias("new_verdict_hash"),
     )
     moved = old.join(new, "case_id").filter("old_severity <> new_severity or old_disposition <> new_disposition")
-    stamp = small(corpus_hash(corpus).select(F.col("corpus_version").alias("indicator_corpus_version"), F.col("corpus_hash").alias("indicator_corpus_hash")))
-    return moved.join(deltas, "case_id").crossJoin(stamp)  # one corpus version: one row
+    stamp = corpus_hash(corpus).first()  # one row: a sweep uses one corpus version
+    return (
+        moved.join(deltas, "case_id")
+        .withColumn("indicator_corpus_version", F.lit(stamp["corpus_version"]))
+        .withColumn("indicator_corpus_hash", F.lit(stamp["corpus_hash"]))
+    )
 
 
 def responsible_claims(drifts: DataFrame, claims: DataFrame, corpus: DataFrame, weights: DataFrame, policy_version: str) -> DataFrame:
@@ -210,8 +215,3 @@ def sweep_summary(closed: DataFrame, drifts: DataFrame, elapsed_seconds: float)
         .withColumn("elapsed_seconds", F.lit(float(elapsed_seconds)))
         .withColumn("cases_per_second", rate)
     )
-
-
-def latest_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")

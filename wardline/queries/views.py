@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, evidence_id
+from ..session import spread
 
 SPLIT_NS = 1_705_363_200_000_000_000  # 2024-01-16: history before, detection after
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def nanos(col: str) -> F.Column:

@@ -18,8 +18,8 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-#: Config tables (policies, registries, indicator feeds) up to this many rows may be broadcast.
-BROADCAST_ROW_LIMIT = 200_000
+#: A table is broadcast by hint only if its plan's size estimate stays under this many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "wardline", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,12 +60,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, name)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting that the table stays under ``limit`` rows.
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan: file sizes for scans, exact for local rows."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-    The count reads at most ``limit + 1`` rows. A larger table is returned as it is and joins by
-    shuffle, where AQE splits skewed partitions.
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the table's estimated size is under ``limit``.
+
+    No job is run.  A larger table is returned as it is and joins by shuffle, where AQE still measures
+    the real sizes and splits skewed partitions.
     """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if plan_bytes(df) <= limit else df
+
+
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out an input too small to have a split per core; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * SPLIT_BYTES else df
