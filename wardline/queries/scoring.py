@@ -37,7 +37,7 @@ def verdict_sql(p: str, cases_cte: str, claims_cte: str, weight_expr: str = "w.w
     from {p}total t join tiers using (policy_version) group by t.case_id),
   {p}v0 as (select c.case_id, c.policy_version, coalesce(s.severity, 'info') as severity,
       case when s.severity is null then 'incomplete' when s.severity in ('info', 'low') then 'benign' when s.severity = 'medium' then 'suspicious' else 'malicious' end as disposition,
-      coalesce(greatest(0, least(10000, t.total)), 0)::bigint as confidence, t.total as total_score, t.base as base_score, t.bonus, coalesce(x.techs, []) as techs,
+      case when t.total is null then 0 else greatest(0, least(10000, t.total)) end::bigint as confidence, t.total as total_score, t.base as base_score, t.bonus, coalesce(x.techs, []) as techs,
       coalesce(k.cnt, 0)::bigint as contributing_count, coalesce(k.dig, repeat('00', 32)) as contributing_digest
     from {cases_cte} c left join {p}total t using (case_id) left join {p}sev s using (case_id) left join {p}tech x using (case_id) left join {p}contrib k using (case_id)),
   {p}verdicts as (select *, sha256('{{"severity":"' || severity || '","confidence":' || confidence || ',"disposition":"' || disposition || '","attack_techniques":['
