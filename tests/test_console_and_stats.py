@@ -107,8 +107,8 @@ def test_feed_folds_over_several_micro_batches_and_a_restart(spark, tmp_path):
 
     def run():
         feed = FEED.read_case_feed(spark, str(tmp_path / "in"), max_files=1)
-        folds.fold_feed(feed, initial, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-        return {r.id: r.risk_score for r in folds.latest_version(str(tmp_path / "out"), spark).collect()}
+        folds.fold_feed(feed, initial.columns, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        return {r.id: r.risk_score for r in folds.current_cases(spark, str(tmp_path / "out"), initial).collect()}
 
     initial = spark.createDataFrame([("a", 1)], "id string, risk_score int")
     deliver("1.json", [(1, "update", "a", 5), (2, "new", "b", 7), (3, "fire", "z", 9)])

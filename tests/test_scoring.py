@@ -137,7 +137,7 @@ def test_blast_radius(spark):
         ("five", ["p"], ["h"] * 4, []),
     ]
     actions = spark.createDataFrame(rows, "action_id string, principals array<string>, hosts array<string>, services array<string>")
-    out = A.blast_radius(actions, spark.createDataFrame([("dc01",)], "asset string"))
+    out = A.blast_radius(actions, A.action_targets(actions), spark.createDataFrame([("dc01",)], "asset string"))
     assert {r.action_id: r.risk_tier for r in out.collect()} == {"dc": "critical", "service": "low", "six": "medium", "fifty": "high", "five": "low"}
 
 

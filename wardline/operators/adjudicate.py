@@ -60,7 +60,7 @@ def claim_groups(claims: DataFrame) -> DataFrame:
     usable = claims.filter(F.size("evidence") > 0)
     if "claim_id" not in usable.columns:
         usable = with_claim_id(usable)
-    return set_digest(usable, ["case_id", "predicate", "polarity"], F.col("claim_id"), out="digest", count="claims")
+    return set_digest(usable, ["case_id", "predicate", "polarity"], F.col("claim_id"), out="digest", count="claims", hashed=True, colocate=["case_id"])
 
 
 def claim_counts(claims: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def confidence(score: Column) -> Column:
 def score_groups(cases: DataFrame, groups: DataFrame, policy: Policy, kernel_version: str, overlay: DataFrame | None = None) -> DataFrame:
     """Verdict per case from claim groups.  ``cases`` is (case_id, policy_version), one row per case.
 
-    The priced groups are moved once, by case; tactics, chain bonus, techniques and the digest of the
-    contributing claims are folded from there without another shuffle.
+    Groups and cases meet by case; tactics, chain bonus, techniques and the digest of the contributing
+    claims are folded where they met, without another shuffle.
     """
     cases = cases.select("case_id", "policy_version")
     keyed = groups.join(cases, "case_id")
@@ -147,8 +147,7 @@ def score_groups(cases: DataFrame, groups: DataFrame, policy: Policy, kernel_ver
     key = ["case_id", "policy_version"]
     item = F.concat_ws("|", "predicate", "polarity", "attributed_weight", "claims", "digest")
     by_tactic = (
-        priced.repartition(*key)
-        .groupBy(*key, "ord")
+        priced.groupBy(*key, "ord")
         .agg(
             clamp_int64(F.sum("contribution")).alias("score"),
             F.sum("claims").alias("claims"),
@@ -229,22 +228,30 @@ def check_policy(policy: Policy) -> DataFrame:
     return empty.unionByName(steps).unionByName(tier).unionByName(tactic)
 
 
-def blast_radius(actions: DataFrame, critical_assets: DataFrame) -> DataFrame:
+def action_targets(actions: DataFrame) -> DataFrame:
+    """(action_id, kind, target) rows from the arrays ``principals``, ``hosts``, ``services``."""
+    kinds = {"principal": "principals", "host": "hosts", "service": "services"}
+    parts = [F.transform(F.col(c), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("target"))) for k, c in kinds.items()]
+    return actions.select("action_id", F.inline(F.concat(*parts)))
+
+
+def blast_radius(actions: DataFrame, targets: DataFrame, critical_assets: DataFrame) -> DataFrame:
     """Scope and risk tier per action.
 
-    ``actions`` has arrays ``principals``, ``hosts``, ``services``; only principals and hosts can touch a
-    critical asset (``critical_assets.asset``), and touching one makes the tier critical at any scope.
+    ``targets`` is (action_id, kind, target) with kinds principal, host and service.  Only principals and
+    hosts can touch a critical asset (``critical_assets.asset``), and touching one makes the tier critical
+    at any scope.  Counts fold before the shuffle, so an action may have any number of targets.
     """
-    targets = actions.select("action_id", F.explode(F.concat("principals", "hosts")).alias("asset"))
-    touched = targets.join(small(critical_assets.select("asset").distinct()), "asset", "left_semi")
-    touched = touched.select("action_id").distinct().withColumn("_hit", F.lit(True))
-    out = (
-        actions.join(touched, "action_id", "left")
-        .withColumn("principal_count", F.size("principals").cast("bigint"))
-        .withColumn("host_count", F.size("hosts").cast("bigint"))
-        .withColumn("dependent_service_count", F.size("services").cast("bigint"))
-        .withColumn("touches_critical_asset", F.coalesce("_hit", F.lit(False)))
+    counts = targets.groupBy("action_id").agg(
+        *[F.count_if(F.col("kind") == k).alias(c) for k, c in (("principal", "principal_count"), ("host", "host_count"), ("service", "dependent_service_count"))]
     )
+    reach = targets.filter(F.col("kind").isin("principal", "host")).select("action_id", F.col("target").alias("asset"))
+    touched = reach.join(small(critical_assets.select("asset").distinct()), "asset", "left_semi")
+    touched = touched.select("action_id").distinct().withColumn("_hit", F.lit(True))
+    out = actions.join(counts, "action_id", "left").join(touched, "action_id", "left")
+    for c in ("principal_count", "host_count", "dependent_service_count"):
+        out = out.withColumn(c, F.coalesce(c, F.lit(0)))
+    out = out.withColumn("touches_critical_asset", F.coalesce("_hit", F.lit(False)))
     scope = F.col("principal_count") + F.col("host_count") + F.col("dependent_service_count")
     tier = F.when(F.col("touches_critical_asset"), "critical").when(scope > 50, "high").when(scope > 5, "medium").otherwise("low")
     return out.withColumn("risk_tier", tier).drop("_hit")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, content_json, evidence_id, sha_hex
 from ..plans.digest import set_digest
+from .chains import link_hash
 
 CLAIM_FIELDS = [
     "predicate",
@@ -56,7 +57,7 @@ def claim_set_hash(claims: DataFrame, group: str = "case_id") -> DataFrame:
     """Order-independent hash of each case's claims; copies count."""
     if "claim_id" not in claims.columns:
         claims = with_claim_id(claims)
-    return set_digest(claims, [group], F.col("claim_id"), out="claim_set_hash", count="claim_count")
+    return set_digest(claims, [group], F.col("claim_id"), out="claim_set_hash", count="claim_count", hashed=True)
 
 
 def corpus_hash(indicators: DataFrame) -> DataFrame:
@@ -113,7 +114,5 @@ def with_content_hash(manifests: DataFrame, out: str = "content_hash") -> DataFr
 
 def with_manifest_hash(manifests: DataFrame, out: str = "manifest_hash") -> DataFrame:
     """Hash of every manifest field including the previous manifest's hash."""
-    from .chains import link_hash
-
     named = with_content_hash(manifests, "_content")
     return named.withColumn(out, link_hash(F.col("prev_manifest_hash"), F.col("_content"))).drop("_content")

@@ -21,14 +21,24 @@ def _fold(label: str, value: str) -> Column:
     return sha_hex(F.concat_ws(",", F.array_sort(parts)))
 
 
-def set_digest(df: DataFrame, group: Sequence[str], item: Column, out: str = "digest", count: str | None = None) -> DataFrame:
+def set_digest(
+    df: DataFrame,
+    group: Sequence[str],
+    item: Column,
+    out: str = "digest",
+    count: str | None = None,
+    hashed: bool = False,
+    colocate: Sequence[str] | None = None,
+) -> DataFrame:
     """One row per group: ``out`` (hex) and, if asked, ``count`` (rows with copies).
 
-    ``item`` must be text that identifies the row's content; NULL items are left out.
+    ``item`` must be text that identifies the row's content; NULL items are left out.  ``hashed`` says
+    that it already is a uniform hex hash.  ``colocate`` names the leading group columns the result is
+    to be partitioned by, so that a following join or aggregation on them needs no further shuffle.
     """
     group = list(group)
     counted = (
-        df.select(*group, sha_hex(item).alias("_h"))
+        df.select(*group, (item if hashed else sha_hex(item)).alias("_h"))
         .filter("_h is not null")
         .groupBy(*group, "_h")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -43,9 +53,7 @@ def set_digest(df: DataFrame, group: Sequence[str], item: Column, out: str = "di
     ).repartition(*group, "_p3")
     fine = spread.groupBy(*group, "_p3", "_p5").agg(_fold("_h", "_ns").alias("_d"), F.sum("_n").alias("_n"))
     coarse = fine.groupBy(*group, "_p3").agg(_fold("_p5", "_d").alias("_d"), F.sum("_n").alias("_n"))
+    if colocate:
+        coarse = coarse.repartition(*colocate)
     folded = coarse.groupBy(*group).agg(_fold("_p3", "_d").alias(out), F.sum("_n").alias("_total"))
-    cols = [*group, out]
-    if count:
-        folded = folded.withColumn(count, F.col("_total"))
-        cols.append(count)
-    return folded.select(*cols)
+    return folded.select(*group, out, *([F.col("_total").alias(count)] if count else []))

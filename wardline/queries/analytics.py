@@ -67,9 +67,9 @@ def case_feed(spark, d):
     root = scratch_path(spark, f"feed-{uuid.uuid4().hex}")
     feed(spark, d).write.json(f"{root}/in")
     stream = FEEDS.read_case_feed(spark, f"{root}/in")
-    q = folds.fold_feed(stream, board(spark, d).select("id", "risk_score"), f"{root}/out", f"{root}/state")
-    q.awaitTermination()
-    return folds.latest_version(f"{root}/out", spark)
+    initial = board(spark, d).select("id", "risk_score")
+    folds.fold_feed(stream, initial.columns, f"{root}/out", f"{root}/state").awaitTermination()
+    return folds.current_cases(spark, f"{root}/out", initial)
 
 
 @query(

@@ -22,7 +22,7 @@ def verdict_sql(p: str, cases_cte: str, claims_cte: str, weight_expr: str = "w.w
     """CTEs ending in ``{p}verdicts``; ``extra`` may join an overlay ``o`` on case and predicate."""
     return f"""
   {p}items as (select case_id, predicate, polarity, claim_id as item from {claims_cte} where len(evidence) > 0),
-  {digest_sql(p + 'items', ['case_id', 'predicate', 'polarity'], p + 'grp')},
+  {digest_sql(p + 'items', ['case_id', 'predicate', 'polarity'], p + 'grp', True)},
   {p}priced as (select g.case_id, c.policy_version, g.predicate, g.polarity, g.n, g.digest, w.tactic, list_position({TACTIC_LIST}, w.tactic) - 1 as ord,
       {weight_expr} * case when g.polarity = 'refutes' then -1 else 1 end as aw, {tech_expr} as techniques
     from {p}grp g join {cases_cte} c using (case_id) join weights w on w.policy_version = c.policy_version and w.predicate = g.predicate {extra}),
@@ -54,7 +54,7 @@ def claim_ids(spark, d):
     return I.with_claim_id(claims(spark, d)).select("case_id", "claim_seq", "claim_id")
 
 
-SETS = f"{CLAIMS}, cs as (select case_id, claim_id as item from claims), {digest_sql('cs', ['case_id'], 'sets')}"
+SETS = f"{CLAIMS}, cs as (select case_id, claim_id as item from claims), {digest_sql('cs', ['case_id'], 'sets', True)}"
 
 
 @query("b03_claim_set_hash", f"with {SETS} select case_id, digest as claim_set_hash, n as claim_count from sets")
@@ -183,23 +183,25 @@ def policy_check(spark, d):
 )
 def blast_radius(spark, d):
     """An action per order: its customer is the principal, its parts are hosts, nine services per part."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("part-"), "l_partkey")).alias("hosts"))
-    actions = table(spark, d, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
-        "o_orderkey as action_id",
-        "array(concat('cust-', o_custkey)) as principals",
-        "hosts",
-        "flatten(transform(sequence(1, 9), i -> transform(hosts, h -> concat(h, '/', i)))) as services",
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("action_id"), "o_custkey")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("action_id"), F.concat(F.lit("part-"), "l_partkey").alias("target"))
+    actions = orders.join(li.select("action_id"), "action_id", "left_semi")
+    hosts = li.withColumn("kind", F.lit("host"))
+    services = li.select("action_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("i"), "target").select(
+        "action_id", F.concat_ws("/", "target", F.col("i").cast("string")).alias("target"), F.lit("service").alias("kind")
     )
+    people = actions.select("action_id", F.concat(F.lit("cust-"), "o_custkey").alias("target"), F.lit("principal").alias("kind"))
     parts = table(spark, d, "part").filter("p_partkey % 50 = 0").select(F.concat(F.lit("part-"), "p_partkey").alias("asset"))
     custs = table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.concat(F.lit("cust-"), "c_custkey").alias("asset"))
-    out = A.blast_radius(actions, parts.unionByName(custs))
+    targets = people.unionByName(hosts).unionByName(services)
+    out = A.blast_radius(actions.select("action_id"), targets, parts.unionByName(custs))
     return out.select("action_id", "principal_count", "host_count", "dependent_service_count", "touches_critical_asset", "risk_tier")
 
 
 # --------------------------------------------------------------------------- closing, manifests, chains
 
 CLOSED = f"""{VERDICTS},
-  cset as (select case_id, claim_id as item from claims), {digest_sql('cset', ['case_id'], 'csets')},
+  cset as (select case_id, claim_id as item from claims), {digest_sql('cset', ['case_id'], 'csets', True)},
   cited as (select case_id, unnest(evidence) as id from claims), {tree_sql('cited', 'case_id', 6)},
   closed as (select k.*, coalesce(r.root, '') as epoch_root, coalesce(s.digest, repeat('00', 32)) as claim_set_hash, coalesce(s.n, 0) as claim_count,
       v.severity, v.confidence, v.disposition, v.verdict_hash, coalesce(z.n, 0)::bigint as evidence_count

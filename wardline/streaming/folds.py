@@ -10,33 +10,28 @@ from ..operators.console import fold_cases, trailing_rate
 from ..operators.identity import dedup_evidence_stream
 
 
-def latest_version(path: str, spark: SparkSession) -> DataFrame | None:
-    """The newest complete snapshot under ``path`` (one folder per micro-batch)."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    done = [s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(s.getPath().suffix("/_SUCCESS"))]
-    versions = sorted(int(n.split("=")[1]) for n in done if n.startswith("version="))
-    return spark.read.parquet(f"{path}/version={versions[-1]}") if versions else None
-
-
-def fold_feed(feed: DataFrame, initial: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the latest version of every case under ``path``, one snapshot folder per micro-batch.
-
-    A repeated micro-batch writes the same folder again from the snapshot before it, so the result does
-    not depend on restarts.
+def fold_feed(feed: DataFrame, columns: list[str], path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Log the latest version of every case that a micro-batch touched, one folder per micro-batch.
+
+    A micro-batch writes only what it changed, however large the case table is, and a repeated one
+    overwrites its own folder, so restarts do not change the result.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = initial if batch_id == 0 else spark.read.parquet(f"{path}/version={batch_id - 1}")
-        fold_cases(before, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        news = batch.filter(F.col("kind").isin("new", "update"))
+        row = F.struct(*[F.col(f"case.{c}").alias(c) for c in columns])
+        latest = news.groupBy(F.col("case.id").alias("id")).agg(F.max_by(row, "seq").alias("case"), F.max("seq").alias("seq"))
+        latest.withColumn("kind", F.lit("update")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def current_cases(spark: SparkSession, path: str, initial: DataFrame) -> DataFrame:
+    """The case table as of all logged micro-batches."""
+    return fold_cases(initial, spark.read.parquet(path))
+
+
 def rate_per_window(fires: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Streaming form of the trailing rate: sliding five-second windows every second."""
     timed = fires.withColumn("event_ts", F.timestamp_millis("at_ms")).withWatermark("event_ts", delay)
@@ -44,4 +39,4 @@ def rate_per_window(fires: DataFrame, delay: str = "10 seconds") -> DataFrame:
     return counted.select(F.col("window.end").alias("at"), "fires_in_window", (F.col("fires_in_window") / 5).alias("rate_per_s"))
 
 
-__all__ = ["dedup_evidence_stream", "fold_feed", "latest_version", "rate_per_window", "trailing_rate"]
+__all__ = ["current_cases", "dedup_evidence_stream", "fold_feed", "rate_per_window", "trailing_rate"]
