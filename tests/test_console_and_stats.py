@@ -134,3 +134,21 @@ def test_streamed_rate_closes_windows(spark, tmp_path):
     q.awaitTermination()
     rates = [r.rate_per_s for r in spark.sql("select * from rates where fires_in_window = 5").collect()]
     assert len(rates) > 30 and set(rates) == {1.0}
+
+
+def test_floor_division_is_exact_beyond_doubles(spark):
+    from wardline.functions.scalar import floor_div
+
+    xs = [1_704_553_130_025_999_999, 1_704_553_130_026_000_000, -1, -1_000_000, -1_000_001, 0, 2**63 - 1]
+    out = spark.createDataFrame([(x,) for x in xs], "x bigint").select(floor_div(F.col("x"), 1_000_000)).collect()
+    assert [r[0] for r in out] == [x // 1_000_000 for x in xs]
+
+
+def test_islands_in_nanoseconds_and_before_the_epoch(spark):
+    from wardline.plans.islands import islands
+
+    gap = 3_600_000_000_000
+    t0 = 1_704_553_130_025_999_999
+    times = [-gap, -1, 0, 5, t0, t0 + gap, t0 + 2 * gap + 1]
+    out = islands(spark.createDataFrame([("k", t) for t in times], "k string, t bigint"), ["k"], "t", gap).orderBy("start").collect()
+    assert [(r.start, r.end, r.events) for r in out] == [(-gap, 5, 4), (t0, t0 + gap, 2), (t0 + 2 * gap + 1, t0 + 2 * gap + 1, 1)]

@@ -48,6 +48,13 @@ def try_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def floor_div(a: Column, n: int) -> Column:
+    """Whole-number division rounding down, exact for every int64 (doubles lose nanoseconds)."""
+    step = F.lit(n).cast("bigint")
+    whole = a.cast("bigint")
+    return F.call_function("div", whole - F.pmod(whole, step), step)
+
+
 def member(value: Column, options: Iterable) -> Column:
     return F.coalesce(value.isin(list(options)), F.lit(False))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
+
 from ..plans.islands import islands
 from ..plans.ranking import exact_median, lag_within
 from ..plans.rules import Rule, evaluate
@@ -113,7 +115,7 @@ def both_within(events: DataFrame, key: str, kind: str, first: str, second: str,
     a, b = F.col(kind) == first, F.col(kind) == second
     buckets = (
         events.filter(F.col(kind).isin(first, second) & F.col(key).isNotNull())
-        .groupBy(key, F.floor(F.col(time) / window).cast("bigint").alias("bucket"))
+        .groupBy(key, floor_div(F.col(time), window).alias("bucket"))
         .agg(
             F.min(F.when(a, F.col(time))).alias("a_lo"),
             F.max(F.when(a, F.col(time))).alias("a_hi"),

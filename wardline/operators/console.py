@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
+
 from ..functions.vocab import DECISIONS, OPEN_STATUSES, RESPONSE_KINDS
 from ..plans.islands import bucket_islands
 from ..plans.ranking import rank_within
@@ -161,7 +163,7 @@ def trailing_rate(fires: DataFrame, at: str = "at_ms", window_ms: int = 5000, by
     """
     by = list(by)
     ticks = fires.groupBy(*by, F.col(at).cast("bigint").alias(at)).agg(F.count(F.lit(1)).alias("_n"))
-    own = F.floor(F.col(at) / window_ms).cast("bigint")
+    own = floor_div(F.col(at), window_ms)
     spread = ticks.withColumn("_own", own).withColumn("_b", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
     frame = Window.partitionBy(*by, "_b").orderBy(at).rangeBetween(-(window_ms - 1), 0)
     counted = spread.withColumn("fires_in_window", F.sum("_n").over(frame)).filter("_b = _own")
@@ -206,7 +208,7 @@ def idle_positions(events: DataFrame, px_per_ms: float) -> DataFrame:
     """Pixel position of every event on the compressed axis."""
     segs = compress_idle(events, px_per_ms).select("case_id", "segment", "start_ms", "px_start")
     where = bucket_islands(events, ["case_id"], "at_ms", IDLE_GAP_MS).select("case_id", "bucket", F.col("island").alias("segment"))
-    placed = events.withColumn("bucket", F.floor(F.col("at_ms") / IDLE_GAP_MS).cast("bigint"))
+    placed = events.withColumn("bucket", floor_div(F.col("at_ms"), IDLE_GAP_MS))
     joined = placed.join(where.join(segs, ["case_id", "segment"]), ["case_id", "bucket"])
     px = F.col("px_start") + (F.col("at_ms") - F.col("start_ms")) * F.lit(float(px_per_ms))
     return joined.select(*events.columns, "segment", px.alias("px"))

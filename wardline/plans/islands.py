@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
+
 
 def bucket_islands(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
     """(keys, bucket, first, last, events, island): island numbers from 0 per key.
@@ -20,7 +22,7 @@ def bucket_islands(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> D
     """
     keys = list(keys)
     buckets = (
-        df.groupBy(*keys, F.floor(F.col(time) / gap).cast("bigint").alias("bucket"))
+        df.groupBy(*keys, floor_div(F.col(time), gap).alias("bucket"))
         .agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("events"))
     )
     order = Window.partitionBy(*keys).orderBy("bucket")

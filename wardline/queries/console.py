@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import floor_div
 from ..functions.vocab import CASE_STATUSES, RESPONSE_KINDS, TACTICS
 from ..operators import adjudicate as A
 from ..operators import console as C
@@ -40,7 +41,7 @@ board as (
 
 
 def board(spark, d):
-    o = table(spark, d, "orders").withColumn("at", F.expr("o_orderdate")).withColumn("ms", F.floor(nanos("o_orderdate") / 1_000_000).cast("bigint"))
+    o = table(spark, d, "orders").withColumn("at", F.expr("o_orderdate")).withColumn("ms", floor_div(nanos("o_orderdate"), 1_000_000))
     o = o.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
     return o.selectExpr(
         "concat('case-', o_orderkey) as id",
@@ -147,7 +148,7 @@ FIRES = "fires as (select event_id as id, epoch_us(ts) // 600000 as at_ms, event
 
 def fires(spark, d):
     """Events squeezed 600-fold in time, so that several fall into one trailing window."""
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.floor(nanos("ts") / 600_000_000).cast("bigint").alias("at_ms"), F.col("event_type").alias("kind"), "user_id")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), floor_div(nanos("ts"), 600_000_000).alias("at_ms"), F.col("event_type").alias("kind"), "user_id")
 
 
 @query(
@@ -171,7 +172,7 @@ def story(spark, d):
     return table(spark, d, "events").select(
         F.col("event_id").alias("id"),
         F.expr("concat('case-', user_id % 40)").alias("case_id"),
-        F.floor(nanos("ts") / 1_000_000).cast("bigint").alias("at_ms"),
+        floor_div(nanos("ts"), 1_000_000).alias("at_ms"),
         F.expr(f"element_at(array({T_LIST}), cast(event_id % 12 as int) + 1)").alias("tactic"),
     )
 
@@ -214,7 +215,7 @@ NODES = "nodes as (select 'cust:' || c_custkey as id, min(epoch_us(o_orderdate)
         select id, col as "column", row_number() over (partition by col order by id) - 1 as row, col * 160 as x, (row_number() over (partition by col order by id) - 1) * 28 as y from c""",
 )
 def time_column_layout(spark, d):
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.floor(nanos("o_orderdate") / 1_000_000).cast("bigint")).alias("first_seen_ms"))
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(floor_div(nanos("o_orderdate"), 1_000_000)).alias("first_seen_ms"))
     nodes = o.select(F.concat(F.lit("cust:"), "o_custkey").alias("id"), "first_seen_ms")
     return C.layout(nodes, 12).select("id", "column", "row", "x", "y")
 
