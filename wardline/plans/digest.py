@@ -1,9 +1,9 @@
 """Order-independent hash of a group's rows, without ever holding a whole group in one task.
 
 The items of a group are hashed, equal items are counted (partial aggregation folds copies before
-the shuffle), and the counted hashes are combined in a tree over the leading hex digits of the item
-hash: five digits, then three, then the group.  Hash digits are uniform, so a group with a third of
-all rows spreads over 4,096 shuffle keys and no array grows past its share.
+the shuffle), and the counted hashes are combined in two steps: by the four leading hex digits of the
+item hash, then by group.  Hash digits are uniform, so a group with a third of all rows spreads over
+65,536 shuffle keys; a list holds one such share, or at most 65,536 bucket hashes.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sha_hex
 
+DIGITS = 4
+
 
 def _fold(label: str, value: str) -> Column:
     parts = F.collect_list(F.concat(F.col(label), F.lit("="), F.col(value)))
@@ -39,21 +41,17 @@ def set_digest(
     group = list(group)
     counted = (
         df.select(*group, (item if hashed else sha_hex(item)).alias("_h"))
-        .filter("_h is not null")
         .groupBy(*group, "_h")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     spread = counted.select(
-        *group,
-        "_n",
-        F.substring("_h", 1, 3).alias("_p3"),
-        F.substring("_h", 1, 5).alias("_p5"),
-        "_h",
-        F.col("_n").cast("string").alias("_ns"),
-    ).repartition(*group, "_p3")
-    fine = spread.groupBy(*group, "_p3", "_p5").agg(_fold("_h", "_ns").alias("_d"), F.sum("_n").alias("_n"))
-    coarse = fine.groupBy(*group, "_p3").agg(_fold("_p5", "_d").alias("_d"), F.sum("_n").alias("_n"))
+        *group, "_n", F.substring("_h", 1, DIGITS).alias("_p"), "_h", F.col("_n").cast("string").alias("_ns")
+    ).repartition(*group, "_p")
+    # a filter on the hash would be pushed down and compute it twice, so NULL items are left out here:
+    # lists skip them, and a group of nothing else has no count
+    real = F.sum(F.when(F.col("_h").isNotNull(), F.col("_n")))
+    buckets = spread.groupBy(*group, "_p").agg(_fold("_h", "_ns").alias("_d"), real.alias("_n"))
     if colocate:
-        coarse = coarse.repartition(*colocate)
-    folded = coarse.groupBy(*group).agg(_fold("_p3", "_d").alias(out), F.sum("_n").alias("_total"))
+        buckets = buckets.repartition(*colocate)
+    folded = buckets.groupBy(*group).agg(_fold("_p", "_d").alias(out), F.sum("_n").alias("_total")).filter("_total is not null")
     return folded.select(*group, out, *([F.col("_total").alias(count)] if count else []))

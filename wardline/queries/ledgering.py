@@ -335,9 +335,8 @@ def digest_sql(items: str, group: list[str], out: str, hashed: bool = False) ->
     by = f" group by {', '.join(group)}" if group else ""
     return f"""
   {out}_c as (select {g}{h} as h, count(*) as n from {items} where item is not null group by all),
-  {out}_5 as (select {g}h[1:3] as p3, h[1:5] as p5, sha256(string_agg(h || '=' || n, ',' order by h || '=' || n)) as d, sum(n) as n from {out}_c group by all),
-  {out}_3 as (select {g}p3, sha256(string_agg(p5 || '=' || d, ',' order by p5)) as d, sum(n) as n from {out}_5 group by {g}p3),
-  {out} as (select {g}sha256(string_agg(p3 || '=' || d, ',' order by p3)) as digest, sum(n)::bigint as n from {out}_3{by})"""
+  {out}_4 as (select {g}h[1:4] as p, sha256(string_agg(h || '=' || n, ',' order by h || '=' || n)) as d, sum(n) as n from {out}_c group by {g}h[1:4]),
+  {out} as (select {g}sha256(string_agg(p || '=' || d, ',' order by p)) as digest, sum(n)::bigint as n from {out}_4{by})"""
 
 
 SNAP = f"""{AUTH},
