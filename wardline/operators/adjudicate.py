@@ -18,7 +18,7 @@ from ..functions.hashing import ZERO_HASH, sha_hex
 from ..functions.scalar import clamp_int64
 from ..functions.vocab import SEVERITIES, TACTICS
 from ..plans.digest import set_digest
-from ..session import small
+from ..session import local_table, small
 from . import merkle
 from .identity import claim_set_hash, with_claim_id, with_verdict_hash
 
@@ -41,9 +41,9 @@ class Policy:
 
 def policy_from_rows(spark: SparkSession, weights: Sequence, chains: Sequence, thresholds: Sequence) -> Policy:
     return Policy(
-        spark.createDataFrame(weights, "policy_version string, predicate string, tactic string, weight bigint, techniques array<string>"),
-        spark.createDataFrame(chains, "policy_version string, from_tactic string, to_tactic string, bonus bigint"),
-        spark.createDataFrame(thresholds, "policy_version string, position int, threshold bigint, severity string"),
+        local_table(spark, list(weights), "policy_version string, predicate string, tactic string, weight bigint, techniques array<string>"),
+        local_table(spark, list(chains), "policy_version string, from_tactic string, to_tactic string, bonus bigint"),
+        local_table(spark, list(thresholds), "policy_version string, position int, threshold bigint, severity string"),
     )
 
 

@@ -4,9 +4,10 @@ Conditions are Spark SQL text.  ``where`` sees the flat event columns; ``when``,
 suppress conditions see one struct per source (``failures.count``, ``failures.last_user_type``) and
 one boolean per declared novelty check.  An unknown name fails at analysis time.
 
-The plan reads the events once: every source becomes conditional aggregates on the union of all
-group fields.  A source with fewer group fields is rolled up from those partial results instead of
-scanning again, then joined back on the fields it shares.
+Sources that group by all fields of the case share one scan, as conditional aggregates.  In batch, a
+source with fewer group fields is one more scan with its ``where`` pushed down to the files, folded
+before the shuffle and joined back on the fields it shares.  On a stream it is rolled up from the
+partial aggregates instead, which all can be merged.
 """
 
 from __future__ import annotations
@@ -100,12 +101,6 @@ def _rollup(name: str, source: Source) -> list[Column]:
     return cols + [F.max(_newest(name, f)).alias(_newest(name, f)) for f in source.track_last]
 
 
-def _distinct_counts(events: DataFrame, name: str, source: Source, f: str) -> DataFrame:
-    keys = list(source.group_by)
-    pairs = events.filter(_hit(source) & F.col(f).isNotNull()).select(*keys, f).distinct()
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_{name}__distinct__{f}"))
-
-
 def _pack(name: str, source: Source) -> Column:
     count = F.coalesce(F.col(f"_{name}__count"), F.lit(0))
     parts = [
@@ -126,13 +121,14 @@ def source_aggregates(events: DataFrame, source: Source) -> DataFrame:
     """The aggregates of one source by its own group fields, flat columns, matched groups only."""
     keys = list(source.group_by)
     out = (
-        events.filter(_hit(source))
+        events.filter(source.where)
         .dropna(subset=keys)
         .groupBy(*keys)
         .agg(*_partials("s", source))
     )
     for f in source.track_distinct:
-        out = out.join(_distinct_counts(events, "s", source, f), keys, "left")
+        pairs = events.filter(source.where).filter(F.col(f).isNotNull()).select(*keys, F.col(f).alias("_value"))
+        out = out.join(_count_pairs(pairs, keys, "s", f), keys, "left")
     packed = out.select(_pack("s", source)).select("s.*")
     return packed.select(*keys, *[c for c in packed.columns if c not in keys])
 
@@ -143,10 +139,10 @@ def cases(events: DataFrame, sources: Mapping[str, Source]) -> DataFrame:
     return events.select(*keys).dropna().distinct()
 
 
-def partial_aggregates(rule: Rule, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def partial_aggregates(rule: Rule, events: DataFrame, by: Sequence[str] = (), tracked: bool = True) -> DataFrame:
     """Conditional aggregates of every source on (by, union keys), with the tracked distinct fields as
-    further keys.  All of it can be merged: ``finish`` accepts the rows of a batch or of a stream."""
-    keys = [*by, *rule.union_keys(), *_distinct_fields(rule)]
+    further keys if ``tracked``.  All of it can be merged, so this is what a stream keeps as state."""
+    keys = [*by, *rule.union_keys(), *(_distinct_fields(rule) if tracked else [])]
     return events.groupBy(*keys).agg(*[c for n, s in sorted(rule.sources.items()) for c in _partials(n, s)])
 
 
@@ -158,34 +154,51 @@ def _distinct_fields(rule: Rule) -> list[str]:
     return out
 
 
-def finish(rule: Rule, partial: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per case with a struct per source, from partial aggregates.
+def _count_pairs(pairs: DataFrame, own: list[str], name: str, f: str) -> DataFrame:
+    """Distinct values per group from (group, value) rows, folded before the shuffle."""
+    return pairs.distinct().groupBy(*own).agg(F.count(F.lit(1)).alias(f"_{name}__distinct__{f}"))
 
-    Sources are rolled up to their own group fields and joined back; the tracked distinct values are
-    counted as (group, value) rows, folded before the shuffle.
-    """
+
+def _join_sources(rule: Rule, base: DataFrame, by: Sequence[str], coarse, pairs) -> DataFrame:
+    """Cases of ``base`` with a struct per source; ``coarse`` and ``pairs`` supply what base lacks."""
     keys = [*by, *rule.union_keys()]
-    finer = bool(_distinct_fields(rule))
-    base = partial
-    if finer:
-        base = partial.groupBy(*keys).agg(*[c for n, s in sorted(rule.sources.items()) for c in _rollup(n, s)])
     out = base.dropna(subset=keys)
     for name, source in sorted(rule.sources.items()):
         own = [*by, *source.group_by]
         if set(own) != set(keys):
             mine = [c for c in base.columns if c.startswith(f"_{name}__")]
-            coarse = base.groupBy(*own).agg(*_rollup(name, source))
-            out = out.drop(*mine).join(coarse, own, "left")
+            out = out.drop(*mine).join(coarse(name, source, own), own, "left")
         for f in source.track_distinct:
-            pairs = partial.filter((F.col(f"_{name}__count") > 0) & F.col(f).isNotNull()).select(*own, F.col(f).alias("_value")).distinct()
-            counts = pairs.groupBy(*own).agg(F.count(F.lit(1)).alias(f"_{name}__distinct__{f}"))
-            out = out.join(counts, own, "left")
+            out = out.join(_count_pairs(pairs(name, source, own, f), own, name, f), own, "left")
     return out.select(*keys, *[_pack(n, s) for n, s in sorted(rule.sources.items())])
 
 
+def finish(rule: Rule, partial: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per case with a struct per source, from partial aggregates alone."""
+    keys = [*by, *rule.union_keys()]
+    base = partial
+    if _distinct_fields(rule):
+        base = partial.groupBy(*keys).agg(*[c for n, s in sorted(rule.sources.items()) for c in _rollup(n, s)])
+
+    def coarse(name, source, own):
+        return base.groupBy(*own).agg(*_rollup(name, source))
+
+    def pairs(name, source, own, f):
+        return partial.filter((F.col(f"_{name}__count") > 0) & F.col(f).isNotNull()).select(*own, F.col(f).alias("_value"))
+
+    return _join_sources(rule, base, by, coarse, pairs)
+
+
 def correlate(rule: Rule, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per case with a struct per source.  ``by`` adds key columns, such as a time window."""
-    return finish(rule, partial_aggregates(rule, events, by), by)
+
+    def coarse(name, source, own):
+        return events.filter(source.where).groupBy(*own).agg(*_partials(name, source))
+
+    def pairs(name, source, own, f):
+        return events.filter(source.where).filter(F.col(f).isNotNull()).select(*own, F.col(f).alias("_value"))
+
+    return _join_sources(rule, partial_aggregates(rule, events, by, tracked=False), by, coarse, pairs)
 
 
 def correlate_aggregates(case_rows: DataFrame, aggregates: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

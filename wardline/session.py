@@ -65,13 +65,37 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Plans over rows handed in by the driver have no estimate; such a table is counted, up to this many rows.
+BROADCAST_ROWS = 50_000
+_UNKNOWN = 1 << 60
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the table's estimated size is under ``limit``.
+    """Hint a broadcast only if the table is known to be small.
 
-    No job is run.  A larger table is returned as it is and joins by shuffle, where AQE still measures
-    the real sizes and splits skewed partitions.
+    The size estimate of the plan decides, without a job.  Where there is none, at most
+    ``BROADCAST_ROWS`` + 1 rows are counted.  A larger table is returned as it is and joins by shuffle,
+    where AQE still measures the real sizes and splits skewed partitions.
     """
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    size = plan_bytes(df)
+    if size <= limit:
+        return F.broadcast(df)
+    if size >= _UNKNOWN and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return F.broadcast(df)
+    return df
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small configuration table as a local relation, whose size the optimiser knows."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema)
+    named = [dict(zip(fields.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, schema=to_arrow_schema(fields)), fields)
 
 
 SPLIT_BYTES = 128 << 20

@@ -31,7 +31,9 @@ def _close(rule: Rule, partial: DataFrame, baseline=None) -> DataFrame:
 def windowed_detections(rule: Rule, events: DataFrame, window: str | None = None, baseline=None) -> DataFrame:
     """The rule evaluated in every tumbling window (its own window by default)."""
     timed = events if "event_ts" in events.columns else with_event_time(events)
-    return _close(rule, _windowed(rule, timed, window or rule.window), baseline)
+    span = F.window("event_ts", window or rule.window)
+    keyed = timed.withColumn("window_start", span["start"]).withColumn("window_end", span["end"])
+    return rules.evaluate(rule, keyed, baseline, by=["window_start", "window_end"])
 
 
 def stream_detections(
