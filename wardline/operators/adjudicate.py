@@ -231,7 +231,11 @@ def check_policy(policy: Policy) -> DataFrame:
 def action_targets(actions: DataFrame) -> DataFrame:
     """(action_id, kind, target) rows from the arrays ``principals``, ``hosts``, ``services``."""
     kinds = {"principal": "principals", "host": "hosts", "service": "services"}
-    parts = [F.transform(F.col(c), lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("target"))) for k, c in kinds.items()]
+
+    def tagged(kind: str, column: str) -> Column:
+        return F.transform(F.col(column), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+
+    parts = [tagged(k, c) for k, c in kinds.items()]
     return actions.select("action_id", F.inline(F.concat(*parts)))
 
 
