@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import exact, langid, packing, repeats, simhash
+from wardline.llm import exact, imatch, langid, notices, packing, repeats, sentencepieces, simhash, urls, warc
 from wardline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,16 +30,54 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query(
+    "op1_warc",
+    """
+    with p as (select page_id, url, encode(coalesce(html, '')) as body from pages),
+         d as (select page_id, url, octet_length(body) as payload_bytes, sha1(body) as payload_digest from p),
+         k as (select *, max(page_id) over (partition by payload_digest) as kept from d)
+    select page_id, url, payload_bytes, payload_digest,
+           case when payload_bytes >= 1000 and kept > page_id then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 1000 and kept > page_id then kept end as refers_to
+    from k
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read_table(spark, sf_dir, "pages"))
+
+
 @query("op2_simhash")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op3_urls")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded, and decoded again from its ids."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = sentencepieces.encode(read_table(spark, sf_dir, "documents"), model).withColumn("n_ids", F.size("ids").cast("long"))
+    decoded = sentencepieces.decode(encoded, model)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+@query("op6_imatch")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> langid.LanguageModel:
     """Fitted on the two thirds of ids that are not held out."""
     return langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -52,6 +90,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+@query("op8_licenses")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.scan(read_table(spark, sf_dir, "documents"))
+
+
 @query("op9_repeats")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents"), length=400)
