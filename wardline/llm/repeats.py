@@ -12,8 +12,10 @@ Three refinements follow one another, on ever fewer suffixes.
    first ``half`` bytes behind its anchor, so an anchor alone in its bucket at depth ``half`` closes its windows as unique.
 2. *Spans.*  The windows of an anchor start in one interval.  The string that covers all of them is a deeper bucket; if
    it occurs twice, all those windows are repeats.
-3. *Windows.*  What is left are places where a repeat begins or ends.  There each window has its own bucket at depth
-   ``length``, held against one member of each span of the same anchor bucket.
+3. *Blocks and windows.*  What is left are places where a repeat begins or ends.  There the same is done for blocks of
+   ``BLOCK`` windows, at fixed distances from their anchor, and at last for single windows: what all windows of the block
+   share must occur twice, and if what covers them does, they are settled.  A settled bucket of the same group sends one
+   member along, since what is left may repeat it in part.
 """
 
 from __future__ import annotations
@@ -31,19 +33,20 @@ from wardline.llm.common import put_down, text_or_empty
 #: Depth of the initial buckets.
 Q = 16
 
+#: Windows in a block.
+BLOCK = 16
+
 #: Suffixes looked at together, so that a very long text takes bounded memory.
 STRETCH = 1 << 18
 
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(32)
 
 
 def _pair(front: np.ndarray, back: np.ndarray) -> np.ndarray:
     """Identifiers of pairs of identifiers."""
-    with np.errstate(over="ignore"):
-        mixed = (front * _ODD[0]) ^ (front >> _SHIFT)
-        mixed += back
-        mixed *= _ODD[1]
+    mixed = front * _ODD
+    mixed += back
     mixed ^= mixed >> _SHIFT
     return mixed
 
@@ -53,8 +56,7 @@ class Buckets:
 
     def __init__(self, data: bytes):
         self.n = len(data)
-        with np.errstate(over="ignore"):
-            byte = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _ODD[0]
+        byte = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _ODD
         self.levels = [byte ^ (byte >> _SHIFT)]
 
     def level(self, k: int) -> np.ndarray:
@@ -72,6 +74,15 @@ class Buckets:
                 done += 1 << k
         return out
 
+    def cover(self, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Identifiers of strings of different sizes, from ``least`` to under twice that, from overlapping parts."""
+        k = least.bit_length() - 1
+        ids = self.level(k)
+        out = _pair(sizes.astype(np.uint64), ids[starts])
+        for part in range(1, 4):  # a power of two over half of ``least``: four parts reach over all
+            out = _pair(out, ids[starts + (sizes - (1 << k)) * part // 3])
+        return out
+
 
 def least_in_reach(ids: np.ndarray, reach: int) -> np.ndarray:
     """For each start p, the place of the least identifier among p ... p + reach - 1, the first of equals."""
@@ -107,21 +118,44 @@ def anchors(data: bytes, length: int):
         last = np.r_[first[1:] - 1, len(at) - 1]
         anchor = at[first]
         head = buckets.at(anchor, half)
-        long = last - first + length
-        k = length.bit_length() - 1  # the span is covered by strings of this power of two
-        ids, size = buckets.level(k), 1 << k
-        span = _pair(long.astype(np.uint64), ids[first])
-        for part in range(1, 4):  # spans are under twice the length, so four overlapping parts cover them
-            span = _pair(span, ids[first + (long - size) * part // 3])
+        span = buckets.cover(first, last - first + length, length)
         parts.append((anchor + lo, first + lo, last + lo, head, span))
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def windows(data: bytes, first: int, last: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two identifiers at depth ``length`` of the windows that start in [first, last]."""
-    piece = data[first : last + length]
-    starts = np.arange(last - first + 1)
-    return Buckets(piece).at(starts, length), Buckets(piece[::-1]).at(len(piece) - length - starts, length)
+def blocks(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, length: int):
+    """Rows (source row, first, last, id of what all windows share, id of the cover) of the blocks of the given intervals.
+
+    A block holds the windows that start ``size * i`` to ``size * i + size - 1`` bytes before the anchor.
+    """
+    low, high = (anchor - last) // size, (anchor - first) // size
+    source = np.repeat(np.arange(len(anchor)), high - low + 1)
+    nth = np.arange(len(source)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    top = anchor[source] - (low[source] + nth) * size  # last start of a whole block
+    begin, end = np.maximum(first[source], top - size + 1), np.minimum(last[source], top)
+    shared, cover = np.empty(len(source), np.uint64), np.empty(len(source), np.uint64)
+    stretch = begin // STRETCH
+    for s in np.unique(stretch):
+        rows = np.flatnonzero(stretch == s)
+        lo = int(begin[rows].min())
+        ids = Buckets(data[lo : int(top[rows].max()) + length])
+        shared[rows] = ids.at(top[rows] - lo, length - size + 1)
+        cover[rows] = ids.cover(begin[rows] - lo, end[rows] - begin[rows] + length, length)
+    if size == 1:  # an independent second half of the identifier
+        import xxhash
+
+        digests = (xxhash.xxh3_64_intdigest(data[b : b + length]) for b in begin.tolist())
+        cover = np.fromiter(digests, np.uint64, len(begin))
+    return source, begin, end, shared, cover
+
+
+_FIELDS = ["key", "anchor", "first", "last", "head", "span", "open"]
+_MARKED = "key long, anchor long, first long, last long, head long, span long, open boolean"
+
+
+def _marked(key, anchor, first, last, head, span, open_) -> pa.RecordBatch:
+    columns = [key, anchor, first, last, head.view(np.int64), span.view(np.int64)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(open_, pa.bool_())], _FIELDS)
 
 
 def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
@@ -134,56 +168,55 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
                     keys.append(np.full(len(found[0]), key.as_py(), np.int64))
                     parts.append(found)
             if parts:
-                anchor, first, last, head, span = (np.concatenate(x) for x in zip(*parts))
-                columns = [np.concatenate(keys), anchor, first, last, head.view(np.int64), span.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "anchor", "first", "last", "head", "span"])
+                columns = [np.concatenate(x) for x in zip(*parts)]
+                yield _marked(np.concatenate(keys), *columns, np.ones(len(columns[0]), bool))
 
-    return rows.mapInArrow(run, "key long, anchor long, first long, last long, head long, span long")
+    return rows.mapInArrow(run, _MARKED)
 
 
-def _window_rows(asked: DataFrame, length: int) -> DataFrame:
-    """``asked`` has ``key, text`` and a list of (first, last, open); one row for each window."""
+def _block_rows(asked: DataFrame, size: int, length: int) -> DataFrame:
+    """``asked`` has ``key, text`` and a list of (anchor, first, last, open); one row for each block of ``size`` windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "start", "w1", "w2", "open"]
         for batch in batches:
             for key, text, wanted in zip(*(batch.column(i) for i in range(3))):
-                data, key = text.as_py(), key.as_py()
-                for piece in wanted.as_py():
-                    first, last = piece["first"], piece["last"]
-                    w1, w2 = windows(data, first, last, length)
-                    n = len(w1)
-                    columns = [np.full(n, key), np.arange(first, last + 1), w1.view(np.int64), w2.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c, pa.int64()) for c in columns), pa.array(np.full(n, piece["open"]))], names
-                    )
+                wanted = wanted.values
+                anchor, first, last = (wanted.field(i).to_numpy() for i in range(3))
+                open_ = wanted.field(3).to_numpy(zero_copy_only=False)
+                source, begin, end, shared, cover = blocks(text.as_py(), anchor, first, last, size, length)
+                yield _marked(np.full(len(source), key.as_py()), anchor[source], begin, end, shared, cover, open_[source])
 
-    return asked.mapInArrow(run, "key long, start long, w1 long, w2 long, open boolean")
+    return asked.mapInArrow(run, _MARKED)
+
+
+def _sorted_out(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled intervals, intervals to refine) of rows with a shared part ``head`` and a cover ``span``.
+
+    A cover that occurs twice settles all its windows.  A shared part that occurs once leaves nothing to look for.  Of
+    the other groups, the rows with a cover of their own go on, and with them one member of each settled cover.
+    Counts are folded before the shuffle; the rows return by joins that AQE splits.
+    """
+    place = F.struct("key", "anchor", "first", "last")
+    n = F.count(F.lit(1)).alias("n")
+    spans = marked.groupBy("head", "span").agg(n, F.min(place).alias("one"), F.max("open").alias("open"))
+    spans = put_down(spans.withColumn("open", F.col("open") & (F.col("n") == 1)), "spans")
+    heads = spans.groupBy("head").agg(F.sum("n").alias("all"), F.max("open").alias("some_open"))
+    heads = heads.where((F.col("all") > 1) & F.col("some_open")).select("head")
+    twice = spans.where(F.col("n") > 1).select(F.col("head").alias("h"), F.col("span").alias("s"))
+    settled = marked.where("open").join(twice, (F.col("head") == F.col("h")) & (F.col("span") == F.col("s")))
+    further = spans.join(heads, "head", "left_semi").select("one.*", "open")
+    return settled.select("key", "first", "last"), further
 
 
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """``key, first, last``: intervals of starts of repeated windows, for ``rows`` of ``key`` (long) and ``text`` (binary)."""
-    marked = put_down(_anchor_rows(rows, length), "anchors")
-    place = F.struct("key", "first", "last")
-    spans = marked.groupBy("head", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
-    spans = put_down(spans, "spans")
-    heads = spans.groupBy("head").agg(F.sum("n").alias("all"), F.max(F.col("n") == 1).alias("some_open"))
-    heads = heads.where(F.col("all") > 1)
-
-    closed = spans.where(F.col("n") > 1).select(F.col("head").alias("h"), F.col("span").alias("s"))
-    whole = marked.join(closed, (F.col("head") == F.col("h")) & (F.col("span") == F.col("s"))).select("key", "first", "last")
-
-    asked = (
-        spans.join(heads.where("some_open").select("head"), "head", "left_semi")
-        .select("one.*", (F.col("n") == 1).alias("open"))
-        .groupBy(F.col("key").alias("k"))
-        .agg(F.collect_list(F.struct("first", "last", "open")).alias("wanted"))
-    )
-    seen = put_down(_window_rows(rows.join(asked, F.col("key") == F.col("k")).select("key", "text", "wanted"), length), "windows")
-    twice = seen.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    twice = twice.select(F.col("w1").alias("t1"), F.col("w2").alias("t2"))
-    single = seen.where("open").join(twice, (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")))
-    return whole.union(single.select("key", F.col("start").alias("first"), F.col("start").alias("last")))
+    found, further = _sorted_out(put_down(_anchor_rows(rows, length), "anchors"))
+    for size in (BLOCK, 1):
+        wanted = further.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "first", "last", "open")).alias("wanted"))
+        asked = rows.join(wanted, F.col("key") == F.col("k")).select("key", "text", "wanted")
+        settled, further = _sorted_out(put_down(_block_rows(asked, size, length), "blocks"))
+        found = found.union(settled)
+    return found
 
 
 def _union(intervals: list, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +245,8 @@ def _interval_lists(ids_and_texts: DataFrame, length: int) -> DataFrame:
     doc_id, text = ids_and_texts.columns
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     found = repeated_windows(ids_and_texts.select(F.xxhash64(doc_id, text).alias("key"), body), length)
-    return found.groupBy(F.col("key").alias("cut_key")).agg(F.collect_set(F.struct("first", "last")).alias("cut"))
+    lists = found.groupBy(F.col("key").alias("cut_key")).agg(F.collect_set(F.struct("first", "last")).alias("cut"))
+    return put_down(lists, "intervals")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
