@@ -23,7 +23,7 @@ from wardline.queries import load
 from wardline.queries.drifting import CURRENT, closed
 from wardline.queries.policies import KERNEL, sample_policy
 from wardline.queries.registry import QUERIES
-from wardline.queries.views import cases, claims, indicators, raw_lines, stored_events
+from wardline.queries.views import CORPUS_VERSION, cases, claims, indicators, raw_lines, stored_events
 from wardline.session import build_session
 
 HEADLINE = [
@@ -75,7 +75,7 @@ def main() -> None:
         "closed": closed(spark, sf_dir),
         "claims": I.with_claim_id(claims(spark, sf_dir)),
         "cases": cases(spark, sf_dir),
-        "lines": raw_lines(spark, sf_dir).filter("text like '%kind%'"),
+        "lines": raw_lines(spark, sf_dir),
         "evidence": stored_events(spark, sf_dir).select(F.expr("time div 3600000000000L").alias("batch"), "evidence_id"),
     }
     tables = {}
@@ -88,9 +88,9 @@ def main() -> None:
     corpus = indicators(spark, sf_dir)
     sizes = {k: v.count() for k, v in tables.items()}
     seconds = {
-        "sweep": best(lambda: D.drift_sweep(tables["closed"], tables["claims"], policy, CURRENT, corpus, KERNEL, groups=groups)),
+        "sweep": best(lambda: D.drift_sweep(tables["closed"], tables["claims"], policy, CURRENT, corpus, CORPUS_VERSION, KERNEL, groups=groups)),
         "adjudicate": best(lambda: A.adjudicate(tables["cases"], tables["claims"], policy, KERNEL)),
-        "replay": best(lambda: D.replay_pin(tables["closed"], groups, policy, KERNEL)),
+        "replay": best(lambda: D.replay_pin(tables["closed"], groups, policy)),
         "hash": best(lambda: I.with_evidence_id(tables["lines"])),
         "seal": best(lambda: M.seal_batches(tables["evidence"], "batch").batches),
     }

@@ -152,3 +152,27 @@ def test_islands_in_nanoseconds_and_before_the_epoch(spark):
     times = [-gap, -1, 0, 5, t0, t0 + gap, t0 + 2 * gap + 1]
     out = islands(spark.createDataFrame([("k", t) for t in times], "k string, t bigint"), ["k"], "t", gap).orderBy("start").collect()
     assert [(r.start, r.end, r.events) for r in out] == [(-gap, 5, 4), (t0, t0 + gap, 2), (t0 + 2 * gap + 1, t0 + 2 * gap + 1, 1)]
+
+
+def test_median_beside_infinite_values(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", math.inf), ("b", -math.inf), ("b", 3.0), ("b", 4.0), ("b", 5.0)]
+    med = {r.g: r.median for r in R.exact_median(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert med == {"a": 2.0, "b": 3.5}
+
+
+def test_panel_does_not_pass_by_omission(spark):
+    manifests = spark.createDataFrame([(c, "r", 1) for c in "abc"], "case_id string, epoch_root string, evidence_count bigint")
+    replayed = spark.createDataFrame([("a", True), ("b", True)], "case_id string, verdict_hash_matches boolean")
+    proofs = spark.createDataFrame([("a", True, "r"), ("c", True, "r")], "case_id string, valid boolean, root string")
+    got = {r.case_id: r.result for r in C.verify_cases(manifests, replayed, proofs).collect()}
+    assert got == {"a": "match", "b": "mismatch", "c": "mismatch"}
+    without = {r.case_id: r.result for r in C.verify_cases(manifests.drop("evidence_count"), replayed, proofs).collect()}
+    assert without == got
+
+
+def test_every_tile_is_there_without_points(spark):
+    cases = spark.createDataFrame([], "status string, created_at_ms bigint, first_event_ms bigint, closed_at_ms bigint, closed_by string, updated_at_ms bigint, disposition string")
+    drifts = spark.createDataFrame([], "swept_at_ms bigint")
+    tiles = {r.tile: r for r in C.stat_tiles(cases, drifts, 10**12).collect()}
+    assert set(tiles) == set(C.TILES)
+    assert tiles["open-cases"].value == 0 and tiles["mttd"].value is None and tiles["mttd"].improved == "flat"

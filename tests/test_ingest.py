@@ -102,3 +102,17 @@ def test_stream_reader_parses_lines(spark, tmp_path):
     q = stream.select("text", F.col("event").isNotNull().alias("ok")).writeStream.format("memory").queryName("lines_in").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.text, r.ok) for r in spark.sql("select * from lines_in").collect()} == {('{"a":1}', True), ("bad", False)}
+
+
+def test_flatten_keeps_awkward_names(spark):
+    df = E.parse_lines(lines(spark, {"VOID_REASON": "x", "it's": {"a b": 1}, "d.e": None}, {"OBJECT<": {"x`y": 2}, "VOID_REASON": "y"}))
+    out = E.flatten_events(df.select("line_no", "event")).orderBy("line_no")
+    assert out.columns == ["line_no", "OBJECT<_x`y", "VOID_REASON", "d.e", "it's_a b"]
+    assert [tuple(r)[1:] for r in out.collect()] == [(None, "x", None, 1), (2, "y", None, None)]
+
+
+def test_times_out_of_range_are_rejected(spark):
+    stamps = ["0001-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "2262-04-11T23:47:16.854775807Z", "2024-01-01T00:00:00Z"]
+    good, bad = E.normalize(lines(spark, *({"userId": "u", "createdDateTime": s} for s in stamps)), E.SIGN_IN)
+    assert [r.reason for r in bad.collect()] == ["bad_timestamp"] * 2
+    assert good.count() == 2

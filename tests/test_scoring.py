@@ -185,8 +185,11 @@ WEIGHTS = {"AUTH_FAILED_BURST": ("credential-access", 2000, ["T1110"]), "CONNECT
 SWEEP_TIERS = [("info", 0), ("low", 1000), ("medium", 2000), ("high", 3000)]
 
 
+VERSION = "v1"
+
+
 def corpus(spark, rows):
-    return spark.createDataFrame([("v1", i, p, v, w, t) for i, (p, v, w, t) in enumerate(rows)], "corpus_version string, position int, predicate string, value string, weight bigint, techniques array<string>")
+    return spark.createDataFrame([(VERSION, i, p, v, w, t) for i, (p, v, w, t) in enumerate(rows)], "corpus_version string, position int, predicate string, value string, weight bigint, techniques array<string>")
 
 
 def closed_df(spark, claims, pol, ids):
@@ -204,11 +207,11 @@ def test_sweep_flips_exactly_the_hot_cases(spark):
     claims, pol = claims_df(spark, rows), policy(spark, WEIGHTS, tiers=SWEEP_TIERS)
     closed = closed_df(spark, claims, pol, sorted({r[0] for r in rows}))
     feed = corpus(spark, [("CONNECTED_TO_INDICATOR", "bad", 5000, []), ("CONNECTED_TO_INDICATOR", "bad", 1, [])])
-    drifts = D.drift_sweep(closed, claims, pol, "p", feed, "k").collect()
+    drifts = D.drift_sweep(closed, claims, pol, "p", feed, VERSION, "k").collect()
     assert sorted(r.case_id for r in drifts) == sorted(f"hot-{i}" for i in range(200))
     assert {(r.old_disposition, r.new_disposition, r.responsible_count) for r in drifts} == {("suspicious", "malicious", 1)}
     assert {tuple(r.policy_deltas[0]) for r in drifts} == {("CONNECTED_TO_INDICATOR", 0, 5000, 1)}
-    assert all(x.verdict_hash_matches for x in D.replay_pin(closed, A.claim_groups(claims), pol, "k").collect())
+    assert all(x.verdict_hash_matches for x in D.replay_pin(closed, A.claim_groups(claims), pol).collect())
 
 
 def test_conflicts_are_reported_and_their_cases_left_alone(spark):
@@ -220,7 +223,7 @@ def test_conflicts_are_reported_and_their_cases_left_alone(spark):
     ]
     feed = corpus(spark, [("CONNECTED_TO_INDICATOR", "a", 5000, ["TA"]), ("CONNECTED_TO_INDICATOR", "b", 7000, []), ("NOT_PRICED", "a", 1, []), ("CONNECTED_TO_INDICATOR", "c", 5000, ["TC"])])
     pol = policy(spark, WEIGHTS, tiers=SWEEP_TIERS)
-    matches = D.match_indicators(claims_df(spark, rows), feed)
+    matches = D.match_indicators(claims_df(spark, rows), feed, VERSION)
     got = {(r.case_id, r.problem) for r in D.reprice_conflicts(matches, pol.weights, "p").collect()}
     assert got == {("two", "conflicting_weights"), ("alien", "not_in_policy")}
     priced = D.reprice(matches, pol.weights, "p").collect()
@@ -260,3 +263,57 @@ def test_bundle_checks_catch_tampering(spark, tmp_path):
     assert not out["c1"].verdict_hash_matches and out["c1"].manifest_hash_valid
     assert not out["c2"].manifest_hash_valid and out["c2"].verdict_hash_matches
     assert not out["c3"].evidence_inclusion_valid and not out["c3"].manifest_hash_valid
+
+
+def test_gate_rejects_missing_evidence_lists(spark):
+    row = list(claim("c", "ENCODED_COMMAND"))
+    row[7] = None
+    one = lambda v, n: spark.createDataFrame([(v,)], f"{n} string")
+    windows = spark.createDataFrame([("c", 0, 100)], "case_id string, window_start_ns bigint, window_end_ns bigint")
+    claims = claims_df(spark, [tuple(row)])
+    good, bad = G.admit(claims, one("e1", "evidence_id"), one("ENCODED_COMMAND", "predicate"), windows)
+    assert good.count() == 0 and [r.reason for r in bad.collect()] == [G.EMPTY]
+    row[7] = []
+    assert I.with_claim_id(claims).first().claim_id == I.with_claim_id(claims_df(spark, [tuple(row)])).first().claim_id
+
+
+def test_replay_uses_each_cases_kernel_version(spark):
+    rows = [claim(f"c{i}", "AUTH_FAILED_BURST") for i in range(4)]
+    claims, pol = claims_df(spark, rows), policy(spark, WEIGHTS, tiers=SWEEP_TIERS)
+    cases = cases_df(spark, [f"c{i}" for i in range(4)]).withColumn("kernel_version", F.concat(F.lit("k"), F.length("case_id") + F.expr("cast(substr(case_id, 2) as int) % 2")))
+    closed = A.adjudicate(cases, claims, pol)
+    assert closed.select("kernel_version").distinct().count() == 2
+    assert all(r.verdict_hash_matches for r in D.replay_pin(closed, A.claim_groups(claims), pol).collect())
+    other = A.adjudicate(cases, claims, pol, "k9")
+    assert not any(r.verdict_hash_matches for r in D.replay_pin(other.withColumn("kernel_version", F.lit("k8")), A.claim_groups(claims), pol).collect())
+
+
+def test_sweep_reads_one_corpus_version_and_none_finds_nothing(spark):
+    rows = [claim("c", "AUTH_FAILED_BURST"), claim("c", "CONNECTED_TO_INDICATOR", seq=1, object="bad")]
+    claims, pol = claims_df(spark, rows), policy(spark, WEIGHTS, tiers=SWEEP_TIERS)
+    closed = closed_df(spark, claims, pol, ["c"])
+    feed = corpus(spark, [("CONNECTED_TO_INDICATOR", "bad", 5000, [])])
+    both = feed.union(feed.withColumn("corpus_version", F.lit("v2")).withColumn("weight", F.lit(1).cast("bigint")))
+    found = D.drift_sweep(closed, claims, pol, "p", both, VERSION, "k").collect()
+    assert [(r.responsible_count, r.indicator_corpus_version) for r in found] == [(1, VERSION)]
+    assert D.drift_sweep(closed, claims, pol, "p", feed.limit(0), VERSION, "k").collect() == []
+    assert D.drift_sweep(closed, claims, pol, "p", feed, "v3", "k").collect() == []
+
+
+def test_bundle_without_a_proof_fails(spark, tmp_path):
+    rows = [claim(f"c{i}", "AUTH_FAILED_BURST", evidence=[f"e{i}", "z"]) for i in range(3)]
+    claims, pol = claims_df(spark, rows), policy(spark, WEIGHTS, tiers=SWEEP_TIERS)
+    cases = spark.createDataFrame(
+        [(f"c{i}", "t", i, f"i{i}", "p", 1, 2, ("local", "m", "", None), (3, 2)) for i in range(3)],
+        "case_id string, tenant_id string, closed_seq bigint, investigation_id string, policy_version string, started_at_ns bigint, completed_at_ns bigint, "
+        "inference struct<provider:string,model_id:string,weights_digest:string,seed:bigint>, budget_consumed struct<tool_calls:bigint,turns:bigint>",
+    )
+    sealed = L.chain_manifests(A.close_cases(cases, claims, pol, "k")).drop("content_hash", "evidence_count")
+    B.export_bundles(sealed, claims, pol, str(tmp_path / "b"))
+    proofs = spark.read.json(str(tmp_path / "b" / "proofs"))
+    lost = proofs.filter("not (case_id = 'c1' and evidence_id = 'z')")
+    lost.write.partitionBy("bucket").json(str(tmp_path / "proofs"))
+    (tmp_path / "b" / "proofs").rename(tmp_path / "b" / "all-proofs")
+    (tmp_path / "proofs").rename(tmp_path / "b" / "proofs")
+    out = {r.case_id: r for r in B.verify_bundles(spark, str(tmp_path / "b")).collect()}
+    assert out["c0"].ok and out["c2"].ok and out["c1"].errors == ["cited evidence has no proof"]

@@ -135,14 +135,17 @@ def confidence(score: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(10_000), score)).cast("bigint")
 
 
-def score_groups(cases: DataFrame, groups: DataFrame, policy: Policy, kernel_version: str, overlay: DataFrame | None = None) -> DataFrame:
+def score_groups(cases: DataFrame, groups: DataFrame, policy: Policy, kernel_version: str | None = None, overlay: DataFrame | None = None) -> DataFrame:
     """Verdict per case from claim groups.  ``cases`` is (case_id, policy_version), one row per case.
 
+    Without ``kernel_version`` each case is scored under the one in its own column of that name.
+
     Groups and cases meet by case; tactics, chain bonus, techniques and the digest of the contributing
     claims are folded where they met, without another shuffle.
     """
-    cases = cases.select("case_id", "policy_version")
-    keyed = groups.join(cases, "case_id")
+    kernel = F.col("kernel_version") if kernel_version is None else F.lit(kernel_version)
+    cases = cases.select("case_id", "policy_version", kernel.alias("kernel_version"))
+    keyed = groups.join(cases.drop("kernel_version"), "case_id")
     priced = price(keyed, policy.weights, overlay).withColumn("ord", tactic_ordinal(F.col("tactic")))
     key = ["case_id", "policy_version"]
     item = F.concat_ws("|", "predicate", "polarity", "attributed_weight", "claims", "digest")
@@ -186,12 +189,11 @@ def score_groups(cases: DataFrame, groups: DataFrame, policy: Policy, kernel_ver
         .withColumn("attack_techniques", F.coalesce("attack_techniques", F.array().cast("array<string>")))
         .withColumn("contributing_count", F.coalesce("contributing_count", F.lit(0)))
         .withColumn("contributing_digest", F.coalesce("contributing_digest", F.lit(ZERO_HASH)))
-        .withColumn("kernel_version", F.lit(kernel_version))
     )
     return with_verdict_hash(out)
 
 
-def adjudicate(cases: DataFrame, claims: DataFrame, policy: Policy, kernel_version: str) -> DataFrame:
+def adjudicate(cases: DataFrame, claims: DataFrame, policy: Policy, kernel_version: str | None = None) -> DataFrame:
     """Verdict of every case.  A case without a usable claim is incomplete, never benign."""
     return score_groups(cases, claim_groups(claims), policy, kernel_version)
 

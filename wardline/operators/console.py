@@ -121,7 +121,10 @@ def stat_tiles(cases: DataFrame, drifts: DataFrame, now_ms: int) -> DataFrame:
     trend = F.transform(F.sequence(F.lit(11), F.lit(0)), lambda i: figure(i, i + 1))
     unit = F.coalesce(*[F.when(F.col("tile") == t, F.lit(u)) for t, (u, _, _) in TILES.items()])
     good = F.coalesce(*[F.when(F.col("tile") == t, F.lit(g)) for t, (_, _, g) in TILES.items()])
-    out = by_tile.select(
+    names = F.explode(F.array(*[F.lit(t) for t in TILES])).alias("tile")
+    every = cases.sparkSession.range(1).select(names).join(by_tile, "tile", "left")  # five rows
+    none = F.array().cast(by_tile.schema["bs"].dataType)
+    out = every.withColumn("bs", F.coalesce("bs", none)).select(
         "tile",
         unit.alias("unit"),
         figure(F.lit(0), F.lit(12)).alias("value"),
@@ -332,17 +335,19 @@ def verify_cases(manifests: DataFrame, replayed: DataFrame, proofs: DataFrame) -
 
     ``replayed`` is ``drift.replay_pin``; ``proofs`` carries ``valid`` and the root each proof leads to.
     """
-    roots = manifests.select("case_id", "epoch_root")
+    roots = manifests.select("case_id", "epoch_root", *[c for c in ("evidence_count",) if c in manifests.columns])
     ok = F.col("valid") & (F.col("root") == F.col("epoch_root"))
     evidence = (
         proofs.join(roots, "case_id")
         .groupBy("case_id")
         .agg(F.count(F.lit(1)).alias("proofs"), F.count_if(ok).alias("proofs_ok"))
     )
-    out = roots.join(evidence, "case_id", "left").join(replayed, "case_id")
+    out = roots.join(evidence, "case_id", "left").join(replayed, "case_id", "full_outer")
     for c in ("proofs", "proofs_ok"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)))
-    fine = F.col("verdict_hash_matches") & (F.col("proofs") == F.col("proofs_ok"))
+    # without proofs nothing is shown, unless the manifest says that there is no evidence; a case not replayed has no match
+    told = F.col("proofs") > 0 if "evidence_count" not in manifests.columns else F.col("proofs").eqNullSafe(F.col("evidence_count"))
+    fine = F.coalesce("verdict_hash_matches", F.lit(False)) & told & (F.col("proofs") == F.col("proofs_ok"))
     return out.select("case_id", "proofs", "proofs_ok", "verdict_hash_matches", F.when(fine, "match").otherwise("mismatch").alias("result"))
 
 

@@ -16,9 +16,9 @@ from . import adjudicate as A
 from .identity import corpus_hash, with_claim_id
 
 
-def replay_pin(closed: DataFrame, groups: DataFrame, policy: A.Policy, kernel_version: str) -> DataFrame:
-    """Re-score every closed case under its own policy version and compare verdict hashes."""
-    again = A.score_groups(closed.select("case_id", "policy_version"), groups, policy, kernel_version)
+def replay_pin(closed: DataFrame, groups: DataFrame, policy: A.Policy) -> DataFrame:
+    """Re-score every closed case under its own policy and kernel version and compare verdict hashes."""
+    again = A.score_groups(closed.select("case_id", "policy_version", "kernel_version"), groups, policy)
     both = closed.select("case_id", F.col("verdict_hash").alias("original_verdict_hash")).join(
         again.select("case_id", F.col("verdict_hash").alias("replayed_verdict_hash")), "case_id"
     )
@@ -30,7 +30,7 @@ ASSERTION = ["predicate", "subject", "object", "interval_start_ns", "interval_en
 
 
 def _assertions(claims: DataFrame) -> DataFrame:
-    cols = [F.array_sort("evidence").alias("evidence") if c == "evidence" else F.col(c) for c in ASSERTION]
+    cols = [F.array_sort(F.coalesce("evidence", F.array().cast("array<string>"))).alias("evidence") if c == "evidence" else F.col(c) for c in ASSERTION]
     return claims.select("case_id", sha_hex(content_json(*cols)).alias("assertion")).distinct()
 
 
@@ -71,13 +71,13 @@ def first_entries(corpus: DataFrame) -> DataFrame:
     return kept.select("corpus_version", "predicate", "value", "_e.weight", "_e.techniques")
 
 
-def match_indicators(claims: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Claims whose (predicate, object) is in the corpus, with the indicator's weight and techniques.
+def match_indicators(claims: DataFrame, corpus: DataFrame, corpus_version: str) -> DataFrame:
+    """Claims whose (predicate, object) is in one version of the corpus, with the indicator's weight and techniques.
 
     Claims without an object never match.  ``claim_seq`` is the submission order in a case.
     """
     named = claims if "claim_id" in claims.columns else with_claim_id(claims)
-    entries = small(first_entries(corpus).withColumnRenamed("value", "object"))
+    entries = small(first_entries(corpus.filter(F.col("corpus_version") == corpus_version)).withColumnRenamed("value", "object"))
     hit = named.filter("object is not null").join(entries, ["predicate", "object"])
     return hit.select(
         "case_id", "claim_id", "claim_seq", "predicate", F.col("object").alias("indicator_value"), "weight", "techniques", "corpus_version"
@@ -127,15 +127,16 @@ def drift_sweep(
     policy: A.Policy,
     policy_version: str,
     corpus: DataFrame,
+    corpus_version: str,
     kernel_version: str,
     groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Closed cases whose disposition or severity changes under the current policy and indicator corpus.
+    """Closed cases whose disposition or severity changes under the current policy and one version of the corpus.
 
     Only cases with a match are scored again; ``policy_deltas`` has one entry per repriced predicate with
     its number of matching claims, and the matching claims themselves are ``responsible_claims`` rows.
     """
-    matches = match_indicators(claims, corpus)
+    matches = match_indicators(claims, corpus, corpus_version)
     overlay = settle(reprice(matches, policy.weights, policy_version))  # small, and used three times
     touched = overlay.select("case_id").distinct()
     again = closed.join(touched, "case_id", "left_semi").select("case_id", F.lit(policy_version).alias("policy_version"))
@@ -160,19 +161,18 @@ def drift_sweep(
         F.col("verdict_hash").alias("new_verdict_hash"),
     )
     moved = old.join(new, "case_id").filter("old_severity <> new_severity or old_disposition <> new_disposition")
-    stamp = corpus_hash(corpus).first()  # one row: a sweep uses one corpus version
-    return (
-        moved.join(deltas, "case_id")
-        .withColumn("indicator_corpus_version", F.lit(stamp["corpus_version"]))
-        .withColumn("indicator_corpus_hash", F.lit(stamp["corpus_hash"]))
+    # one row, or none for a corpus without entries, which matches nothing
+    stamp = corpus_hash(corpus.filter(F.col("corpus_version") == corpus_version)).select(
+        F.col("corpus_version").alias("indicator_corpus_version"), F.col("corpus_hash").alias("indicator_corpus_hash")
     )
+    return moved.join(deltas, "case_id").crossJoin(stamp)
 
 
-def responsible_claims(drifts: DataFrame, claims: DataFrame, corpus: DataFrame, weights: DataFrame, policy_version: str) -> DataFrame:
+def responsible_claims(drifts: DataFrame, claims: DataFrame, corpus: DataFrame, corpus_version: str, weights: DataFrame, policy_version: str) -> DataFrame:
     """One row per matching claim of a drifted case, with the weight before and after."""
     mine = claims.join(drifts.select("case_id"), "case_id", "left_semi")
     current = weights.filter(F.col("policy_version") == policy_version).select("predicate", F.col("weight").alias("old_weight"))
-    hit = match_indicators(mine, corpus).join(small(current), "predicate")
+    hit = match_indicators(mine, corpus, corpus_version).join(small(current), "predicate")
     return hit.select("case_id", "claim_id", "predicate", "indicator_value", "old_weight", F.col("weight").alias("new_weight"))
 
 

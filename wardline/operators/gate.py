@@ -9,6 +9,7 @@ from ..functions.scalar import fence
 from ..session import small
 from .identity import with_claim_id
 
+# The rejection texts.
 EMPTY = "empty evidence list (invariant I2)"
 UNKNOWN = "evidence id(s) not present in the pinned epoch"
 PREDICATE = "predicate is not in the predicate registry"
@@ -40,7 +41,7 @@ def judge(claims: DataFrame, pinned: DataFrame, registry: DataFrame, windows: Da
     )
     outside = (F.col("interval_start_ns") < F.col("window_start_ns")) | (F.col("interval_end_ns") > F.col("window_end_ns"))
     reason = F.coalesce(
-        F.when(F.size("evidence") == 0, EMPTY),
+        F.when(F.coalesce(F.size("evidence"), F.lit(0)) <= 0, EMPTY),
         F.when(F.col("unknown_evidence").isNotNull(), UNKNOWN),
         F.when(F.col("_known").isNull(), PREDICATE),
         F.when(F.col("interval_end_ns") < F.col("interval_start_ns"), INVERTED),

@@ -44,12 +44,12 @@ def distinct_evidence(df: DataFrame, key: str = "evidence_id") -> DataFrame:
 
 
 def _claim_json() -> Column:
-    cols = [F.array_sort("evidence").alias("evidence") if c == "evidence" else F.col(c) for c in CLAIM_FIELDS]
+    cols = [F.array_sort(F.coalesce("evidence", F.array().cast("array<string>"))).alias("evidence") if c == "evidence" else F.col(c) for c in CLAIM_FIELDS]
     return content_json(*cols)
 
 
 def with_claim_id(claims: DataFrame, out: str = "claim_id") -> DataFrame:
-    """Hash of all twelve fields; JSON keeps the field boundaries, the evidence list is sorted first."""
+    """Hash of all twelve fields; JSON keeps the field boundaries, the evidence list is sorted first; none is the same as an empty one."""
     return claims.withColumn(out, sha_hex(_claim_json()))
 
 

@@ -83,8 +83,9 @@ def exact_median(df: DataFrame, group: Sequence[str], value: str, out: str = "me
         return (F.col("_lo") <= pos) & (pos < F.col("_hi"))
 
     low, high = F.expr("(_total - 1) div 2"), F.expr("_total div 2")
-    half = (holds(low).cast("int") + holds(high).cast("int")) * F.col(value) / 2
-    return joined.groupBy(*group).agg(F.sum(half).alias(out))
+    half = F.col(value) / 2  # each middle value counts half; a value that is none may be infinite
+    halves = F.when(holds(low) & holds(high), F.col(value)).when(holds(low) | holds(high), half)
+    return joined.groupBy(*group).agg(F.sum(halves).alias(out))
 
 
 def rank_by_hash(df: DataFrame, group: Sequence[str], key: str, out: str = "rank0", size: str = "group_size") -> DataFrame:

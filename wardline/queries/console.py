@@ -78,6 +78,12 @@ def facet_counts(spark, d):
     return C.facet_counts(board(spark, d))
 
 
+@query("i03_full_queue", f"with {BOARD} select id, risk_score, severity from board")
+def full_queue(spark, d):
+    """All rows, sorted; the comparison is by rows, not by order."""
+    return C.queue(board(spark, d), sort="created_at_ms", descending=False).select("id", "risk_score", "severity")
+
+
 @query("i03_ranked_queue", f"with {BOARD} select id, risk_score, severity from board order by risk_score desc, id limit 100")
 def ranked_queue(spark, d):
     return C.queue(board(spark, d), limit=100).select("id", "risk_score", "severity")
@@ -279,7 +285,7 @@ def manifest_list(spark, d):
 def verification_panel(spark, d):
     c = claims(spark, d)
     manifests = closed_manifests(spark, d)
-    replayed = D.replay_pin(closed(spark, d), A.claim_groups(c), sample_policy(spark), KERNEL)
+    replayed = D.replay_pin(closed(spark, d), A.claim_groups(c), sample_policy(spark))
     proofs = M.verify_inclusion(M.prove(A.cited_evidence_tree(c)))
     return C.verify_cases(manifests, replayed, proofs)
 

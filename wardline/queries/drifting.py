@@ -15,7 +15,7 @@ from ..sources import bundles as B
 from .policies import KERNEL, sample_policy
 from .registry import query
 from .scoring import BASE, CORPUS, VERDICTS, closed_manifests, verdict_sql
-from .views import INDICATORS, cases, claims, indicators
+from .views import CORPUS_VERSION, INDICATORS, cases, claims, indicators
 
 CURRENT = "policy.v2"
 
@@ -27,14 +27,32 @@ def closed(spark, d):
     return meta.join(done, "case_id")
 
 
+TWO_KERNELS = "case when substr(case_id, 6)::bigint % 4 = 3 then '0.9.0' else '1.0.0' end"
+
+
+def _two_kernels(spark, d):
+    """Cases closed under their own policy and kernel version."""
+    kernel = F.when(F.expr("cast(substr(case_id, 6) as bigint) % 4 = 3"), "0.9.0").otherwise(KERNEL)
+    return A.adjudicate(cases(spark, d).withColumn("kernel_version", kernel), claims(spark, d), sample_policy(spark))
+
+
 @query(
     "h01_replay_pin",
-    f"with {VERDICTS} select case_id, verdict_hash as original_verdict_hash, verdict_hash as replayed_verdict_hash, true as verdict_hash_matches from verdicts",
+    f"""with {BASE}, {verdict_sql('', 'cases', 'claims', kernel=TWO_KERNELS)},
+        edited as (select * replace (case when l_orderkey % 8 = 1 and claim_seq = 1 then 'supports' else polarity end as polarity,
+          case when l_orderkey % 8 = 1 and claim_seq = 1 then claim_id || '!' else claim_id end as claim_id) from claims),
+        {verdict_sql('r_', 'cases', 'edited', kernel=TWO_KERNELS)}
+        select v.case_id, v.verdict_hash as original_verdict_hash, r.verdict_hash = v.verdict_hash as verdict_hash_matches from verdicts v join r_verdicts r using (case_id)""",
 )
 def replay_pin(spark, d):
-    """Scored again from the same stored claims in another physical order."""
-    shuffled = claims(spark, d).repartition(5, "subject").sortWithinPartitions(F.desc("subject"))
-    return D.replay_pin(closed(spark, d), A.claim_groups(shuffled), sample_policy(spark), KERNEL)
+    """Scored again from the stored claims in another physical order; one claim in some cases was changed meanwhile."""
+    stored = I.with_claim_id(claims(spark, d))
+    tampered = F.expr("l_orderkey % 8 = 1 and claim_seq = 1")
+    stored = stored.withColumn("polarity", F.when(tampered, "supports").otherwise(F.col("polarity")))
+    stored = stored.withColumn("claim_id", F.when(tampered, F.concat("claim_id", F.lit("!"))).otherwise(F.col("claim_id")))
+    shuffled = stored.repartition(5, "subject").sortWithinPartitions(F.desc("subject"))
+    out = D.replay_pin(_two_kernels(spark, d), A.claim_groups(shuffled), sample_policy(spark))
+    return out.drop("replayed_verdict_hash")
 
 
 REDERIVED = """rederived as (
@@ -73,7 +91,7 @@ MATCH = f"""{INDICATORS},
 
 @query("h03_indicator_match", f"with {BASE}, {MATCH} select case_id, claim_id, predicate, indicator_value, weight::bigint as weight, array_to_string(techniques, ',') as techniques from matches")
 def indicator_match(spark, d):
-    m = D.match_indicators(claims(spark, d), indicators(spark, d))
+    m = D.match_indicators(claims(spark, d), indicators(spark, d), CORPUS_VERSION)
     return m.select("case_id", "claim_id", "predicate", "indicator_value", "weight", F.array_join("techniques", ",").alias("techniques"))
 
 
@@ -91,14 +109,14 @@ REPRICE = f"""{MATCH},
         from overlay o join weights w on w.policy_version = '{CURRENT}' and w.predicate = o.predicate""",
 )
 def reprice(spark, d):
-    m = D.match_indicators(claims(spark, d), indicators(spark, d))
+    m = D.match_indicators(claims(spark, d), indicators(spark, d), CORPUS_VERSION)
     out = D.reprice(m, sample_policy(spark).weights, CURRENT)
     return out.withColumn("techniques", F.array_join("new_techniques", ",")).drop("new_techniques")
 
 
 @query("h05_reprice_conflicts", f"with {BASE}, {REPRICE} select * from conflicts")
 def reprice_conflicts(spark, d):
-    m = D.match_indicators(claims(spark, d), indicators(spark, d))
+    m = D.match_indicators(claims(spark, d), indicators(spark, d), CORPUS_VERSION)
     return D.reprice_conflicts(m, sample_policy(spark).weights, CURRENT)
 
 
@@ -113,7 +131,7 @@ SWEEP = f"""{VERDICTS}, {REPRICE},
 
 
 def _drifts(spark, d):
-    return D.drift_sweep(closed(spark, d), claims(spark, d), sample_policy(spark), CURRENT, indicators(spark, d), KERNEL)
+    return D.drift_sweep(closed(spark, d), claims(spark, d), sample_policy(spark), CURRENT, indicators(spark, d), CORPUS_VERSION, KERNEL)
 
 
 @query("h06_drift_sweep", f"with {SWEEP} select * from drifts")
@@ -127,7 +145,7 @@ def drift_sweep(spark, d):
     "h07_drift_attribution",
     f"""with {SWEEP}, dl as (select case_id, string_agg(predicate || ':' || (select weight from weights w where w.policy_version = '{CURRENT}' and w.predicate = overlay.predicate) || '>' || new_weight || 'x' || matches, ',' order by predicate) as deltas,
           sum(matches)::bigint as responsible_count from overlay group by case_id)
-        select case_id, deltas, responsible_count, 'corpus.1' as indicator_corpus_version, (select sha256(corpus_version || '|' || digest) from corp) as indicator_corpus_hash
+        select case_id, deltas, responsible_count, 'corpus.1' as indicator_corpus_version, (select sha256(corpus_version || '|' || digest) from corp where corpus_version = 'corpus.1') as indicator_corpus_hash
         from drifts join dl using (case_id)""",
 )
 def drift_attribution(spark, d):
@@ -143,25 +161,25 @@ def drift_attribution(spark, d):
         from matches m join drifts using (case_id) join weights w on w.policy_version = '{CURRENT}' and w.predicate = m.predicate""",
 )
 def responsible_claims(spark, d):
-    return D.responsible_claims(_drifts(spark, d), claims(spark, d), indicators(spark, d), sample_policy(spark).weights, CURRENT)
+    return D.responsible_claims(_drifts(spark, d), claims(spark, d), indicators(spark, d), CORPUS_VERSION, sample_policy(spark).weights, CURRENT)
 
 
 def _attrib_sql(name, version, weight):
     return f"""{name} as (select c.case_id, c.claim_id, c.predicate, ({weight} * case when polarity = 'refutes' then -1 else 1 end)::bigint as w
-      from (select distinct case_id, claim_id, predicate, polarity from claims where len(evidence) > 0) c join weights w on w.policy_version = '{version}' and w.predicate = c.predicate
-      where c.case_id in (select case_id from verdicts where policy_version = 'policy.v1'))"""
+      from (select distinct case_id, claim_id, predicate, polarity from claims where len(evidence) > 0) c join verdicts v using (case_id)
+      join weights w on w.policy_version = {version} and w.predicate = c.predicate)"""
 
 
 @query(
     "h08_attribution_diff",
-    f"""with {VERDICTS}, {_attrib_sql('a', 'policy.v1', 'w.weight')}, {_attrib_sql('b', 'policy.v2', 'w.weight')}
+    f"""with {VERDICTS}, {_attrib_sql('a', 'v.policy_version', 'w.weight')}, {_attrib_sql('b', "'policy.v2'", 'w.weight')}
         select coalesce(a.case_id, b.case_id) as case_id, coalesce(a.claim_id, b.claim_id) as claim_id, coalesce(a.predicate, b.predicate) as predicate, a.w as weight_before, b.w as weight_after
         from a full join b on a.case_id = b.case_id and a.claim_id = b.claim_id""",
 )
 def attribution_diff(spark, d):
-    """Cases closed under the first policy version, attributed under it and under the second."""
+    """Every case attributed under the policy version it was closed under and under the second one."""
     policy = sample_policy(spark)
-    first = cases(spark, d).filter("policy_version = 'policy.v1'")
+    first = cases(spark, d)
     second = first.withColumn("policy_version", F.lit("policy.v2"))
     stored = closed(spark, d)
     recomputed = A.score_groups(first.select("case_id", "policy_version"), A.claim_groups(claims(spark, d)), policy, KERNEL)

@@ -34,17 +34,26 @@ NORMAL = f"""{RAW},
     from lines where shape = 'ok')"""
 
 
+LINE_ID = """case when shape = 'ok' then 'sha256:' || sha256(canonical) when shape in ('bad_time', 'no_time') then 'sha256:' || sha256('{"createdDateTime":"'
+    || case when shape = 'bad_time' then 'yesterday' else '0001-01-01T00:00:00Z' end || '","userId":"u' || user_id || '"}') end"""
+
+
+def _identified(lines):
+    """Ids of lines that are JSON with whole numbers; null for all others."""
+    named = I.with_evidence_id(lines)
+    return named.withColumn("evidence_id", F.when(E.integers_only(F.col("text")), F.col("evidence_id")))
+
+
 @query(
     "a01_read_events",
-    f"with {RAW} select 'sha256:' || sha256(canonical) as evidence_id, shape = 'ok' as parsed, count(*)::bigint as n from lines where shape = 'ok' group by all",
+    f"with {RAW} select {LINE_ID} as evidence_id, shape <> 'not_json' as parsed, count(*)::bigint as n from lines where shape <> 'blank' group by all",
 )
 def read_events(spark, d):
-    """Lines written as text files, read back, blank and malformed lines apart."""
+    """Lines written as text files and read back; blank lines go, malformed ones have no id."""
     path = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
     raw_lines(spark, d).select("text").write.text(path)
-    lines = E.read_events(spark, path).filter("event is not null").filter(E.integers_only(F.col("text")) & F.col("text").contains("kind"))
     return (
-        I.with_evidence_id(lines)
+        _identified(E.read_events(spark, path))
         .groupBy("evidence_id", F.col("event").isNotNull().alias("parsed"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -99,8 +108,8 @@ def envelope(spark, d):
 
 @query(
     "a06_reject_split",
-    f"""with {RAW} select line_no, case shape when 'bad_number' then 'not_int64' when 'bad_time' then 'bad_timestamp' else 'not_an_object' end as reason
-        from lines where shape in ('bad_number', 'bad_time', 'not_json')""",
+    f"""with {RAW} select line_no, case when shape = 'bad_number' then 'not_int64' when shape in ('bad_time', 'no_time') then 'bad_timestamp' else 'not_an_object' end as reason
+        from lines where shape in ('bad_number', 'bad_time', 'no_time', 'not_json')""",
 )
 def reject_split(spark, d):
     return E.normalize(raw_lines(spark, d), SIGN_IN)[1].select("line_no", "reason")
@@ -121,11 +130,10 @@ def replay_corpus(spark, d):
     return E.replay_corpus(raw_lines(spark, d), SIGN_IN)[0]
 
 
-@query("b01_evidence_id", f"with {RAW} select line_no, 'sha256:' || sha256(canonical) as evidence_id from lines where shape = 'ok'")
+@query("b01_evidence_id", f"with {RAW} select line_no, {LINE_ID} as evidence_id from lines")
 def evidence_ids(spark, d):
-    """Two spellings of the same object (key order, white space) have one id."""
-    lines = raw_lines(spark, d).filter(F.col("text").contains("kind"))
-    return I.with_evidence_id(lines).select("line_no", "evidence_id")
+    """Two spellings of the same object (key order, white space) have one id; malformed lines have none."""
+    return _identified(raw_lines(spark, d)).select("line_no", "evidence_id")
 
 
 def tree_sql(leaves: str, group: str, levels: int) -> str:

@@ -18,7 +18,7 @@ from .views import CASES, CLAIMS, INDICATORS, cases, claims, indicators, table
 TACTIC_LIST = "[" + ", ".join(f"'{t}'" for t in TACTICS) + "]"
 
 
-def verdict_sql(p: str, cases_cte: str, claims_cte: str, weight_expr: str = "w.weight", tech_expr: str = "w.techniques", extra: str = "") -> str:
+def verdict_sql(p: str, cases_cte: str, claims_cte: str, weight_expr: str = "w.weight", tech_expr: str = "w.techniques", extra: str = "", kernel: str = f"'{KERNEL}'") -> str:
     """CTEs ending in ``{p}verdicts``; ``extra`` may join an overlay ``o`` on case and predicate."""
     return f"""
   {p}items as (select case_id, predicate, polarity, claim_id as item from {claims_cte} where len(evidence) > 0),
@@ -42,7 +42,7 @@ def verdict_sql(p: str, cases_cte: str, claims_cte: str, weight_expr: str = "w.w
     from {cases_cte} c left join {p}total t using (case_id) left join {p}sev s using (case_id) left join {p}tech x using (case_id) left join {p}contrib k using (case_id)),
   {p}verdicts as (select *, sha256('{{"severity":"' || severity || '","confidence":' || confidence || ',"disposition":"' || disposition || '","attack_techniques":['
       || case when len(techs) = 0 then '' else '"' || array_to_string(techs, '","') || '"' end || '],"contributing_count":' || contributing_count || ',"contributing_digest":"' || contributing_digest
-      || '","policy_version":"' || policy_version || '","kernel_version":"{KERNEL}"}}') as verdict_hash from {p}v0)"""
+      || '","policy_version":"' || policy_version || '","kernel_version":"' || {kernel} || '"}}') as verdict_hash from {p}v0)"""
 
 
 BASE = f"{CASES}, {CLAIMS}, {POLICY}"
@@ -64,7 +64,7 @@ def claim_set_hashes(spark, d):
 
 CORPUS = f"""{INDICATORS},
   ent as (select corpus_version, '{{"predicate":"' || predicate || '","value":"' || value || '","weight":' || weight || ',"techniques":['
-    || case when len(techniques) = 0 then '' else '"' || array_to_string(list_sort(techniques), '","') || '"' end || ']}}' as item from indicators),
+    || case when len(techniques) = 0 then '' else '"' || array_to_string(list_sort(techniques), '","') || '"' end || ']}}' as item from all_indicators),
   {digest_sql('ent', ['corpus_version'], 'corp')}"""
 
 
@@ -275,7 +275,7 @@ def chain_tips(spark, d):
 REGISTRY = values([(p,) for p in KNOWN_PREDICATES], "registry", "predicate")
 
 GATE = f"""{CASES}, {CLAIMS}, {REGISTRY},
-  pinned as (select 'ev-' || s_suppkey as evidence_id from supplier union select 'ev-' || p_partkey from part where p_partkey < 90),
+  pinned as (select 'ev-' || s_suppkey as evidence_id from supplier union select 'ev-' || (p_partkey % 90) from part),
   windows as (select case_id, started_at_ns - 40000000000000000 as ws, started_at_ns + 100000000000000000 as we from cases),
   bent as (select *, case when claim_seq = 6 then interval_start_ns - 1 else interval_end_ns end as iend from claims),
   cited as (select distinct case_id, claim_id, unnest(evidence) as evidence_id from claims),
@@ -296,7 +296,7 @@ def _gate(spark, d):
     )
     pinned = (
         table(spark, d, "supplier").select(F.concat(F.lit("ev-"), "s_suppkey").alias("evidence_id"))
-        .union(table(spark, d, "part").filter("p_partkey < 90").select(F.concat(F.lit("ev-"), "p_partkey")))
+        .union(table(spark, d, "part").select(F.concat(F.lit("ev-"), F.col("p_partkey") % 90)))
         .distinct()
     )
     registry = spark.createDataFrame([(p,) for p in KNOWN_PREDICATES], "predicate string")

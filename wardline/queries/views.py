@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, evidence_id
-from ..session import spread
 
 SPLIT_NS = 1_705_363_200_000_000_000  # 2024-01-16: history before, detection after
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def nanos(col: str) -> F.Column:
@@ -88,11 +87,12 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = f"concat('{{', {status}, ',', {user}, ',', {at}, ',', {kind}, ',\"extra\":', props, '}}')"
     two = f"concat('{{ ', {kind}, ', \"extra\": ', props, ' ,', {at}, ',', {user}, ',', {status}, '}}')"
     bad_number = f"concat('{{', {user}, ',', {at}, ',\"extra\":', value + 0.001D, '}}')"
+    no_time = f"concat('{{', {user}, ',\"createdDateTime\":\"0001-01-01T00:00:00Z\"}}')"
     bad_time = f"concat('{{', {user}, ',\"createdDateTime\":\"yesterday\"}}')"
     return ev.selectExpr(
         "event_id as line_no",
         f"""case when event_id % 50 = 7 then {bad_number} when event_id % 50 = 8 then {bad_time}
-             when event_id % 50 = 9 then 'not json' when event_id % 50 = 10 then '   '
+             when event_id % 50 = 9 then 'not json' when event_id % 50 = 10 then '   ' when event_id % 50 = 11 then {no_time}
              when event_id % 2 = 0 then {one} else {two} end as text""",
     )
 
@@ -101,7 +101,7 @@ RAW = """
 lines as (
   select event_id as line_no, user_id, event_type, value, k, stamp, (epoch_us(ts) * 1000)::bigint as time,
     case when event_id % 50 = 7 then 'bad_number' when event_id % 50 = 8 then 'bad_time'
-         when event_id % 50 = 9 then 'not_json' when event_id % 50 = 10 then 'blank' else 'ok' end as shape,
+         when event_id % 50 = 9 then 'not_json' when event_id % 50 = 10 then 'blank' when event_id % 50 = 11 then 'no_time' else 'ok' end as shape,
     '{"createdDateTime":"' || stamp || 'Z","extra":{"k":' || k || '},"kind":"' || event_type || '","status":{"errorCode":'
       || (event_id % 7) || ',"note":"n' || (user_id % 3) || '"},"userId":"u' || user_id || '"}' as canonical
   from (select *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') as stamp, json_extract_string(props, '$.k')::bigint as k from events)
@@ -141,7 +141,7 @@ _PREDS = ", ".join(f"'{p}'" for p in CLAIM_PREDICATES)
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order is a case; 25 tenants; orders with key divisible by 9 have no claims."""
+    """Every order is a case; 25 tenants; claims of orders with key divisible by 9 cite no evidence."""
     return table(spark, sf_dir, "orders").select(
         F.expr("concat('case-', o_orderkey)").alias("case_id"),
         F.expr("concat('tenant-', o_orderkey % 25)").alias("tenant_id"),
@@ -156,7 +156,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 9 <> 0").withColumn("start", nanos("l_shipdate"))
+    """Every line item is a claim.  A claim without evidence has an empty list or none at all, which is the same."""
+    li = table(spark, sf_dir, "lineitem").withColumn("start", nanos("l_shipdate"))
     return li.selectExpr(
         "concat('case-', l_orderkey) as case_id",
         "l_orderkey",
@@ -166,7 +167,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(l_suppkey % 10 = 0, null, concat('supplier:', l_suppkey)) as object",
         "start as interval_start_ns",
         "start + cast(l_quantity as bigint) * 1000000000L as interval_end_ns",
-        "if(l_quantity = 1, cast(array() as array<string>), array(concat('ev-', l_suppkey), concat('ev-', l_partkey % 97))) as evidence",
+        "case when l_quantity = 1 and l_partkey % 2 = 0 then null when l_quantity = 1 or l_orderkey % 9 = 0 then cast(array() as array<string>)"
+        " else array(concat('ev-', l_suppkey), concat('ev-', l_partkey % 97)) end as evidence",
         "if(l_returnflag = 'R', 'model', 'rule') as extractor_kind",
         "'lineitem' as extractor_id",
         "'1' as extractor_version",
@@ -192,12 +194,12 @@ claims_raw as (
     ([{_PREDS}])[(l_partkey % 12)::int + 1] as predicate, 'part:' || l_partkey as subject,
     case when l_suppkey % 10 = 0 then null else 'supplier:' || l_suppkey end as object,
     epoch_us(l_shipdate) * 1000 as interval_start_ns, epoch_us(l_shipdate) * 1000 + l_quantity::bigint * 1000000000 as interval_end_ns,
-    case when l_quantity = 1 then []::varchar[] else ['ev-' || l_suppkey, 'ev-' || (l_partkey % 97)] end as evidence,
+    case when l_quantity = 1 or l_orderkey % 9 = 0 then []::varchar[] else ['ev-' || l_suppkey, 'ev-' || (l_partkey % 97)] end as evidence,
     case when l_returnflag = 'R' then 'model' else 'rule' end as extractor_kind, 'lineitem' as extractor_id, '1' as extractor_version,
     case when l_linenumber = 7 then null else l_quantity::bigint end as observed_value,
     case when l_discount > 0.07::double then 'refutes' else 'supports' end as polarity,
     case l_linenumber % 3 when 0 then 'H1' when 1 then 'H2' end as hypothesis_ref
-  from lineitem where l_orderkey % 9 <> 0
+  from lineitem
 ),
 claims as (
   select *, sha256('{{"predicate":"' || predicate || '","subject":"' || subject || '","object":' || coalesce('"' || object || '"', 'null')
@@ -210,23 +212,37 @@ claims as (
 )"""
 
 
+CORPUS_VERSION = "corpus.1"
+
+
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier whose key is divisible by 3 is an indicator, some twice; two corpus versions."""
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0")
+    """Every supplier is an indicator, some twice; a third of the values occur in claims.
+
+    An older corpus version has the same values under other weights.
+    """
+    s = table(spark, sf_dir, "supplier")
     entry = "named_struct('predicate', '{p}', 'position', {pos}, 'weight', {w}, 'techniques', {t})"
     hot = entry.format(p="CONNECTED_TO_INDICATOR", pos="s_suppkey", w="5000L", t="array('T1071.001', 'T1090')")
     again = entry.format(p="CONNECTED_TO_INDICATOR", pos="s_suppkey + 1000000000L", w="1L", t="cast(array() as array<string>)")
     other = entry.format(p="ENCODED_COMMAND", pos="s_suppkey", w="2000L + s_suppkey % 4 * 1000L", t="cast(array() as array<string>)")
     alien = entry.format(p="NOT_YET_PRICED", pos="s_suppkey", w="100L", t="cast(array() as array<string>)")
     picked = f"filter(array({hot}, {other}, if(s_suppkey % 2 = 0, {again}, null), if(s_suppkey % 21 = 0, {alien}, null)), x -> x is not null)"
-    rows = s.selectExpr("concat('supplier:', s_suppkey) as value", f"inline({picked})")
-    return rows.select(F.lit("corpus.1").alias("corpus_version"), "position", "predicate", "value", "weight", "techniques")
+    value = "concat(if(s_suppkey % 3 = 0, 'supplier:', 'idle:'), s_suppkey) as value"
+    rows = s.selectExpr(value, f"inline({picked})").select("position", "predicate", "value", "weight", "techniques")
+    old = rows.withColumn("weight", F.col("weight") + 7).withColumn("corpus_version", F.lit("corpus.0"))
+    return rows.withColumn("corpus_version", F.lit(CORPUS_VERSION)).unionByName(old)
 
 
 INDICATORS = """
-indicators as (
-  select 'corpus.1' as corpus_version, s_suppkey as position, 'CONNECTED_TO_INDICATOR' as predicate, 'supplier:' || s_suppkey as value, 5000 as weight, ['T1071.001', 'T1090'] as techniques from supplier where s_suppkey % 3 = 0
-  union all select 'corpus.1', s_suppkey, 'ENCODED_COMMAND', 'supplier:' || s_suppkey, 2000 + s_suppkey % 4 * 1000, []::varchar[] from supplier where s_suppkey % 3 = 0
-  union all select 'corpus.1', s_suppkey + 1000000000, 'CONNECTED_TO_INDICATOR', 'supplier:' || s_suppkey, 1, []::varchar[] from supplier where s_suppkey % 6 = 0
-  union all select 'corpus.1', s_suppkey, 'NOT_YET_PRICED', 'supplier:' || s_suppkey, 100, []::varchar[] from supplier where s_suppkey % 21 = 0
-)"""
+indicator_rows as (
+  select 'corpus.1' as corpus_version, s_suppkey as position, u.predicate, case when s_suppkey % 3 = 0 then 'supplier:' else 'idle:' end || s_suppkey as value, u.weight, u.techniques
+  from (select s_suppkey, unnest([
+      {'predicate': 'CONNECTED_TO_INDICATOR', 'weight': 5000, 'techniques': ['T1071.001', 'T1090'], 'held': true},
+      {'predicate': 'ENCODED_COMMAND', 'weight': 2000 + s_suppkey % 4 * 1000, 'techniques': []::varchar[], 'held': true},
+      {'predicate': 'CONNECTED_TO_INDICATOR', 'weight': 1, 'techniques': []::varchar[], 'held': s_suppkey % 2 = 0},
+      {'predicate': 'NOT_YET_PRICED', 'weight': 100, 'techniques': []::varchar[], 'held': s_suppkey % 21 = 0}]) as u from supplier)
+  where u.held
+),
+all_indicators as (select * replace (position + case when weight = 1 then 1000000000 else 0 end as position) from indicator_rows
+  union all select 'corpus.0', position + case when weight = 1 then 1000000000 else 0 end, predicate, value, weight + 7, techniques from indicator_rows),
+indicators as (select * from all_indicators where corpus_version = 'corpus.1')"""

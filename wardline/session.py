@@ -65,24 +65,13 @@ def plan_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-#: Plans over rows handed in by the driver have no estimate; such a table is counted, up to this many rows.
-BROADCAST_ROWS = 50_000
-_UNKNOWN = 1 << 60
-
-
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the table is known to be small.
+    """Hint a broadcast only if Catalyst's size estimate says that the table is small.
 
-    The size estimate of the plan decides, without a job.  Where there is none, at most
-    ``BROADCAST_ROWS`` + 1 rows are counted.  A larger table is returned as it is and joins by shuffle,
-    where AQE still measures the real sizes and splits skewed partitions.
+    Any other table, one without an estimate included, is returned as it is and joins by shuffle, where AQE still
+    measures the real sizes and splits skewed partitions.
     """
-    size = plan_bytes(df)
-    if size <= limit:
-        return F.broadcast(df)
-    if size >= _UNKNOWN and df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -96,12 +85,3 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     fields = StructType.fromDDL(schema)
     named = [dict(zip(fields.names, row)) for row in rows]
     return spark.createDataFrame(pa.Table.from_pylist(named, schema=to_arrow_schema(fields)), fields)
-
-
-SPLIT_BYTES = 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share out an input too small to have a split per core; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < cores * SPLIT_BYTES else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping as MappingType
 from dataclasses import dataclass
 
@@ -89,11 +90,12 @@ def integers_only(text: Column) -> Column:
 
 
 def rfc3339_ns(text: Column) -> Column:
-    """RFC 3339 text to UTC nanoseconds; NULL when it is not RFC 3339."""
+    """RFC 3339 text to UTC nanoseconds; NULL when it is not RFC 3339 or out of range."""
     pattern = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
     whole = F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 3))
     digits = F.substring(F.regexp_extract(text, pattern, 2), 2, 9)
-    ns = F.unix_seconds(whole.try_cast("timestamp")) * F.lit(1_000_000_000) + F.rpad(digits, 9, "0").cast("bigint")
+    seconds = F.try_multiply(F.unix_seconds(whole.try_cast("timestamp")), F.lit(1_000_000_000))
+    ns = F.try_add(seconds, F.rpad(digits, 9, "0").cast("bigint"))
     return F.when(text.rlike(pattern), ns)
 
 
@@ -194,6 +196,13 @@ def _leaves(schema: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple[tu
     return out
 
 
+def _struct_type(found: str) -> str:
+    """A variant's schema text as a struct type.  Types are replaced, field names (quoted or not) are left alone."""
+    token = r"`(?:[^`]|``)*`|(?:(?<=: )|(?<=ARRAY<)|^)(?:OBJECT<|VOID(?=[,>]|$))"
+    to = {"OBJECT<": "STRUCT<", "VOID": "STRING"}
+    return re.sub(token, lambda m: to.get(m[0], m[0]), found)
+
+
 def flatten_events(df: DataFrame, column: str = "event") -> DataFrame:
     """Nested keys to underscore-joined columns; the column set is the union over all rows.
 
@@ -201,11 +210,16 @@ def flatten_events(df: DataFrame, column: str = "event") -> DataFrame:
     select that follows is an ordinary scan.
     """
     found = df.agg(F.schema_of_variant_agg(F.col(column)).alias("s")).first()["s"]
-    schema = T._parse_datatype_string(found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING"))
+    struct = _struct_type(found)
+    schema = T._parse_datatype_string(struct)
     if not isinstance(schema, T.StructType):
         raise ValueError("events are not JSON objects")
+    keep = [c for c in df.columns if c != column]
+    whole = once(df.select(*keep, column), _event=F.try_variant_get(F.col(column), "$", struct))
     cols = []
-    for segs, type_ in sorted(_leaves(schema), key=lambda p: p[0]):
-        json_path = "$" + "".join(f"['{s}']" for s in segs)
-        cols.append(F.try_variant_get(F.col(column), json_path, type_.simpleString()).alias("_".join(segs)))
-    return df.select(*[c for c in df.columns if c != column], *cols)
+    for segs, _ in sorted(_leaves(schema), key=lambda p: p[0]):
+        value = F.col("_event")
+        for name in segs:
+            value = value.getField(name)
+        cols.append(value.alias("_".join(segs)))
+    return whole.select(*keep, *cols)

@@ -56,7 +56,11 @@ def stream_detections(
     partial = _windowed(rule, timed.withWatermark("event_ts", delay), window or rule.window)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        emit(_close(rule, batch, baseline), batch_id)
+        kept = batch.persist()  # read by several branches; without it the stateful part would run for each
+        try:
+            emit(_close(rule, kept, baseline), batch_id)
+        finally:
+            kept.unpersist()
 
     writer = partial.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
