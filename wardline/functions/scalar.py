@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small
 from .vocab import INT64_MAX, INT64_MIN
 
 
@@ -91,9 +92,12 @@ def in_asset_group(value: Column, groups: Mapping[str, Iterable[str]], name: str
 
 
 def members_of_group(df: DataFrame, column: str, group_table: DataFrame, name: str) -> DataFrame:
-    """Rows whose ``column`` is in a group kept as a table (group_name, member)."""
+    """Rows whose ``column`` is in a group kept as a table (group_name, member).
+
+    A table known to be small is broadcast, so rows with a hot value stay where they are.
+    """
     wanted = group_table.filter(F.col("group_name") == name).select(F.col("member").alias(column))
-    return df.join(wanted, column, "left_semi")
+    return df.join(small(wanted), column, "left_semi")
 
 
 def fence(text: Column) -> Column:

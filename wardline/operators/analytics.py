@@ -12,7 +12,7 @@ from ..functions.scalar import floor_div
 from ..plans.islands import islands
 from ..plans.ranking import exact_median, lag_within
 from ..plans.rules import Rule, evaluate
-from ..session import small
+from ..session import small, stored
 
 # ---------------------------------------------------------------- per-entity statistics
 
@@ -20,11 +20,13 @@ from ..session import small
 def robust_z(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Adds ``median``, ``mad`` and ``robust_z`` = (value - median) / (1.4826 MAD); NULL when MAD is 0.
 
+    The medians, one row per group, are stored first; if they are small they are broadcast, so that a hot group's rows
+    stay where they are.
     Both medians are exact and computed by position in a distributed sort, not by gathering a group.
     """
     group = list(group)
-    centred = df.join(exact_median(df, group, value, "median"), group).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    out = centred.join(exact_median(centred, group, "_dev", "mad"), group)
+    centred = df.join(small(stored(exact_median(df, group, value, "median"), "medians")), group).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    out = centred.join(small(stored(exact_median(centred, group, "_dev", "mad"), "medians")), group)
     z = F.try_divide(F.col(value) - F.col("median"), F.col("mad") * F.lit(1.4826))
     return out.withColumn("robust_z", z).drop("_dev")
 

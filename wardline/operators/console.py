@@ -255,7 +255,6 @@ def in_box(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> Dat
 
 
 LEAF_POINTS = 32
-MAX_LEVEL = 16
 
 
 def _box_distance(near: bool) -> Column:
@@ -277,8 +276,8 @@ def nearest_within(points: DataFrame, queries: DataFrame, radius: float) -> Data
     ``points`` is (id, x, y), ``queries`` (query_id, x, y).  Equal coordinates are folded on both sides.
     A query starts with the up to nine occupied cells around it and goes down a grid that halves every
     level, keeping only cells that may still hold the nearest point: those no farther than the surest
-    bound found so far.  The grid goes on until no cell holds more than a few distinct points, so a
-    crowded cell is never paired with all its queries.
+    bound found so far.  The grid goes on until no cell holds more than a few distinct points, which halving
+    always reaches, so a crowded cell is never paired with all its queries.
     """
     pts = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     pts = pts.groupBy("x", "y").agg(F.min("id").alias("id"))
@@ -304,7 +303,7 @@ def nearest_within(points: DataFrame, queries: DataFrame, radius: float) -> Data
     )
     level, grid = 0, cells(0)
     cand = prune(start.join(grid, ["cx", "cy"]))
-    while level < MAX_LEVEL and (grid.agg(F.max("n")).first()[0] or 0) > LEAF_POINTS:
+    while (grid.agg(F.max("n")).first()[0] or 0) > LEAF_POINTS:
         level += 1
         grid = cells(level)
         child = grid.withColumn("_px", F.shiftright("cx", 1)).withColumn("_py", F.shiftright("cy", 1))

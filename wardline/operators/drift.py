@@ -7,6 +7,8 @@ wherever only scores and hashes are needed.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,6 +207,13 @@ def closed_cases(closed: DataFrame, start_ns: int | None = None, end_ns: int | N
     return out
 
 
+def measured_sweep(closed: DataFrame, *args, **kwargs) -> tuple[DataFrame, DataFrame]:
+    """(drifts, summary): a :func:`drift_sweep`, run to its end and timed."""
+    begun = time.monotonic()
+    drifts = settle(drift_sweep(closed, *args, **kwargs))
+    return drifts, sweep_summary(closed, drifts, time.monotonic() - begun)
+
+
 def sweep_summary(closed: DataFrame, drifts: DataFrame, elapsed_seconds: float) -> DataFrame:
     """Cases considered, drifted, elapsed time and throughput."""
     swept = closed.agg(F.count(F.lit(1)).alias("cases_swept"))

@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..functions.vocab import ASSET_GROUPS
 from ..operators import detect as D
 from ..plans import catalog, rules
+from ..session import local_table
 from .registry import query
 from .views import AUTH, EVIDENCE, SPLIT_NS, auth_events, stored_events
 
@@ -150,7 +151,7 @@ def asset_group(spark, d):
     f"with {AUTH} select event_id, src_endpoint_ip from auth where src_endpoint_ip = '203.0.113.44'",
 )
 def asset_group_table(spark, d):
-    groups = spark.createDataFrame([(g, m) for g, ms in ASSET_GROUPS.items() for m in ms], "group_name string, member string")
+    groups = local_table(spark, [(g, m) for g, ms in ASSET_GROUPS.items() for m in ms], "group_name string, member string")
     return S.members_of_group(auth_events(spark, d), "src_endpoint_ip", groups, "corporate-egress").select("event_id", "src_endpoint_ip")
 
 
