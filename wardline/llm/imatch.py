@@ -31,7 +31,7 @@ class Lexicons:
     """
 
     rates: tuple[float, ...] = (1 / 64, 1 / 256, 1 / 1024, 1 / 4096)
-    per_rate: int = 16
+    per_rate: int = 32
     low: float = 1 / 2000
     high: float = 1 / 50
 
@@ -112,7 +112,7 @@ def _slots(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 0, F.xxhash64(F.array_sort(hashes)))
 
 
-def likeness(a: Column, b: Column, a_all: Column, b_all: Column, lexicons: Lexicons, least: int = 4) -> Column:
+def likeness(a: Column, b: Column, a_all: Column, b_all: Column, lexicons: Lexicons, least: int = 8) -> Column:
     """Share of equal lexicons of two maps from lexicon to hash, 0 to 1.
 
     It is taken at the sparsest rate with at least ``least`` lexicons that have terms in either text, else at the densest
