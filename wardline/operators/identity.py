@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_json, content_json, evidence_id, sha_hex
 from ..plans.digest import set_digest
-from .chains import link_hash
+from .chains import element_hash
 
 CLAIM_FIELDS = [
     "predicate",
@@ -113,6 +113,7 @@ def with_content_hash(manifests: DataFrame, out: str = "content_hash") -> DataFr
 
 
 def with_manifest_hash(manifests: DataFrame, out: str = "manifest_hash") -> DataFrame:
-    """Hash of every manifest field including the previous manifest's hash."""
+    """Hash of every manifest field including the anchor and the previous manifest's hash."""
     named = with_content_hash(manifests, "_content")
-    return named.withColumn(out, link_hash(F.col("prev_manifest_hash"), F.col("_content"))).drop("_content")
+    linked = element_hash(F.col("anchor_hash"), F.col("opens_segment"), F.col("prev_manifest_hash"), F.col("_content"))
+    return named.withColumn(out, linked).drop("_content")

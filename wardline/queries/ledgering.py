@@ -210,6 +210,9 @@ def verify_inclusion(spark, d):
     return M.verify_inclusion(mixed).select(F.col("_id").alias("evidence_id"), "valid")
 
 
+ZERO = "repeat('00', 32)"
+
+
 def _hourly(spark, d):
     ev = stored_events(spark, d).withColumn("tenant_id", F.concat(F.lit("tenant-"), F.col("k") % 3))
     ev = M.seal_by_window(ev, "time", batch_seconds=3600, epoch_seconds=86400)
@@ -238,17 +241,21 @@ def seal_epochs(spark, d):
 
 @query(
     "c08_chain_epochs",
-    f"""with recursive {EPOCHS},
-        heads as (select tenant_id, epoch, sha256(epoch || '|' || root) as content, epoch // 256 as seg,
-            row_number() over (partition by tenant_id order by epoch) as rn from e_roots),
-        walk as (select tenant_id, epoch, rn, seg, repeat('00', 32) as prev, sha256(unhex(repeat('00', 32)) || unhex(content)) as hash from heads where rn = 1
-          union all select h.tenant_id, h.epoch, h.rn, h.seg, w.hash, sha256(unhex(w.hash) || unhex(h.content))
-            from walk w join heads h on h.tenant_id = w.tenant_id and h.rn = w.rn + 1)
-        select tenant_id, epoch, prev, hash from walk""",
+    f"""with recursive {HOURLY},
+        heads as (select tenant_id, batch as epoch, sha256(batch || '|' || root) as content, batch // 256 as seg,
+            row_number() over (partition by tenant_id order by batch) as rn from batch_roots),
+        walk as (select tenant_id, epoch, rn, seg, {ZERO} as anchor, {ZERO} as prev, sha256(unhex({ZERO}) || unhex({ZERO}) || unhex(content)) as hash,
+            sha256(unhex({ZERO}) || unhex(content)) as fold from heads where rn = 1
+          union all select tenant_id, epoch, rn, seg, here, before, sha256(unhex(here) || unhex(case when first then {ZERO} else before end) || unhex(content)),
+            sha256(unhex(case when first then {ZERO} else fold end) || unhex(content))
+            from (select h.*, h.seg <> w.seg as first, w.hash as before, w.fold, case when h.seg <> w.seg then sha256(unhex(w.anchor) || unhex(w.fold)) else w.anchor end as here
+              from walk w join heads h on h.tenant_id = w.tenant_id and h.rn = w.rn + 1))
+        select tenant_id, epoch, anchor, prev, hash from walk""",
 )
 def chain_epochs(spark, d):
-    epochs = M.seal_epochs(_hourly(spark, d), ["tenant_id", "epoch"]).batches
-    return L.chain_epochs(epochs).select("tenant_id", "epoch", "prev", "hash")
+    """Hourly epochs, so that a month crosses segment borders."""
+    epochs = _hourly(spark, d).withColumn("epoch", F.col("batch"))
+    return L.chain_epochs(epochs).select("tenant_id", "epoch", "anchor", "prev", "hash")
 
 
 # --------------------------------------------------------------------------- documents as raw evidence

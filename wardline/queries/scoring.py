@@ -212,17 +212,17 @@ CLOSED = f"""{VERDICTS},
       || '","verdict_hash":"' || verdict_hash || '","budget_consumed":' || budget_consumed || ',"started_at_ns":' || started_at_ns || ',"completed_at_ns":' || completed_at_ns || '}}') as content_hash
     from closed)"""
 
-# walks each tenant's chain in order; a new segment of 256 starts from the anchor, which is a chain over segment folds
+ZERO = "repeat('00', 32)"
+# walks each tenant's chain in order; the anchor moves on where a segment of 256 begins
 CHAINED = f"""recursive {CLOSED},
   walk as (
-    select tenant_id, closed_seq, repeat('00', 32) as prev, sha256(unhex(repeat('00', 32)) || unhex(content_hash)) as hash,
-      sha256(unhex(repeat('00', 32)) || unhex(content_hash)) as fold, repeat('00', 32) as anchor from manifests where closed_seq = 0
+    select tenant_id, closed_seq, {ZERO} as prev, sha256(unhex({ZERO}) || unhex({ZERO}) || unhex(content_hash)) as hash,
+      sha256(unhex({ZERO}) || unhex(content_hash)) as fold, {ZERO} as anchor, true as opens from manifests where closed_seq = 0
     union all
-    select tenant_id, closed_seq, link, sha256(unhex(link) || unhex(content_hash)), sha256(unhex(base) || unhex(content_hash)), next_anchor from (
-      select m.tenant_id, m.closed_seq, m.content_hash,
-        case when m.closed_seq % 256 = 0 then sha256(unhex(w.anchor) || unhex(w.fold)) else w.hash end as link,
-        case when m.closed_seq % 256 = 0 then repeat('00', 32) else w.fold end as base,
-        case when m.closed_seq % 256 = 0 then sha256(unhex(w.anchor) || unhex(w.fold)) else w.anchor end as next_anchor
+    select tenant_id, closed_seq, before, sha256(unhex(here) || unhex(case when first then {ZERO} else before end) || unhex(content_hash)),
+      sha256(unhex(case when first then {ZERO} else fold end) || unhex(content_hash)), here, first from (
+      select m.tenant_id, m.closed_seq, m.content_hash, m.closed_seq % 256 = 0 as first, w.hash as before, w.fold,
+        case when m.closed_seq % 256 = 0 then sha256(unhex(w.anchor) || unhex(w.fold)) else w.anchor end as here
       from walk w join manifests m on m.tenant_id = w.tenant_id and m.closed_seq = w.closed_seq + 1))"""
 
 
@@ -237,27 +237,28 @@ def close_cases(spark, d):
     )
 
 
-@query("b06_manifest_hash", f"with {CLOSED} select case_id, sha256(unhex(repeat('00', 32)) || unhex(content_hash)) as manifest_hash from manifests")
+@query("b06_manifest_hash", f"with {CLOSED} select case_id, sha256(unhex({ZERO}) || unhex({ZERO}) || unhex(content_hash)) as manifest_hash from manifests")
 def manifest_hashes(spark, d):
-    unlinked = closed_manifests(spark, d).withColumn("prev_manifest_hash", F.repeat(F.lit("00"), F.lit(32)))
+    zero = F.repeat(F.lit("00"), F.lit(32))
+    unlinked = closed_manifests(spark, d).withColumns({"prev_manifest_hash": zero, "anchor_hash": zero, "opens_segment": F.lit(True)})
     return I.with_manifest_hash(unlinked).select("case_id", "manifest_hash")
 
 
-@query("c09_manifest_chain", f"with {CHAINED} select tenant_id, closed_seq, prev as prev_manifest_hash, hash as manifest_hash from walk")
+@query("c09_manifest_chain", f"with {CHAINED} select tenant_id, closed_seq, anchor as anchor_hash, opens as opens_segment, prev as prev_manifest_hash, hash as manifest_hash from walk")
 def manifest_chain(spark, d):
-    return L.chain_manifests(closed_manifests(spark, d)).select("tenant_id", "closed_seq", "prev_manifest_hash", "manifest_hash")
+    return L.chain_manifests(closed_manifests(spark, d)).select("tenant_id", "closed_seq", "anchor_hash", "opens_segment", "prev_manifest_hash", "manifest_hash")
 
 
 @query(
     "c10_verify_chain",
-    f"""with {CASES}, edited as (select *, coalesce(bool_or(o_orderkey % 101 = 3) over (partition by tenant_id order by closed_seq rows between unbounded preceding and 1 preceding), false) as earlier from cases)
-        select tenant_id, closed_seq, not (o_orderkey % 101 = 3) as hash_ok, not (closed_seq % 256 = 0 and earlier) as link_ok from edited""",
+    f"""with {CASES}, edited as (select *, coalesce(bool_or(o_orderkey % 101 = 3) over (partition by tenant_id order by closed_seq // 256 range between unbounded preceding and 1 preceding), false) as earlier from cases)
+        select tenant_id, closed_seq, not (o_orderkey % 101 = 3) as hash_ok, not earlier as link_ok from edited""",
 )
 def verify_chain(spark, d):
     """After sealing, every case whose key is 3 modulo 101 gets another confidence.
 
-    Exactly those rows' hashes fail, and the link of each later segment's first row, whose anchor
-    commits to all earlier contents.
+    Exactly those rows' hashes fail, and the links of all later segments, whose anchors commit to all
+    earlier contents.
     """
     sealed = settle(L.chain_manifests(closed_manifests(spark, d)))
     hit = F.substring("case_id", 6, 20).cast("bigint") % 101 == 3
