@@ -272,21 +272,32 @@ def nearest_within(spark, d):
     return C.nearest_within(p, q, 0.05).withColumn("distance", F.round("distance", 9))
 
 
-@query("i16_manifest_list", f"with {CLOSED} select case_id, tenant_id, verdict_hash, completed_at_ns::bigint as completed_at_ns, 'intact' as chain_state from closed")
+@query(
+    "i16_manifest_list",
+    f"""with {CLOSED}, edited as (select *, o_orderkey % 211 = 3 as hit, coalesce(bool_or(o_orderkey % 211 = 3) over (partition by tenant_id order by closed_seq // 256
+            range between unbounded preceding and 1 preceding), false) as earlier from closed)
+        select case_id, tenant_id, verdict_hash, completed_at_ns::bigint as completed_at_ns, case when hit or earlier then 'broken' else 'intact' end as chain_state from edited""",
+)
 def manifest_list(spark, d):
+    """After sealing, every case whose key is 3 modulo 211 gets another confidence."""
     sealed = settle(L.chain_manifests(closed_manifests(spark, d)))
+    hit = F.substring("case_id", 6, 20).cast("bigint") % 211 == 3
+    sealed = sealed.withColumn("verdict_confidence", F.when(hit, F.col("verdict_confidence") + 1).otherwise(F.col("verdict_confidence")))
     return C.manifest_list(sealed, L.verify_manifests(sealed)).select("case_id", "tenant_id", "verdict_hash", "completed_at_ns", "chain_state")
 
 
 @query(
     "i17_verification_panel",
-    f"with {CLOSED} select case_id, evidence_count as proofs, evidence_count as proofs_ok, true as verdict_hash_matches, 'match' as result from closed",
+    f"""with {CLOSED}, k as (select *, o_orderkey % 7 = 2 as lost from closed)
+        select case_id, case when lost then 0 else evidence_count end as proofs, case when lost then 0 else evidence_count end as proofs_ok, true as verdict_hash_matches,
+          case when lost and evidence_count > 0 then 'mismatch' else 'match' end as result from k""",
 )
 def verification_panel(spark, d):
+    """The proofs of every seventh case are lost."""
     c = claims(spark, d)
     manifests = closed_manifests(spark, d)
     replayed = D.replay_pin(closed(spark, d), A.claim_groups(c), sample_policy(spark))
-    proofs = M.verify_inclusion(M.prove(A.cited_evidence_tree(c)))
+    proofs = M.verify_inclusion(M.prove(A.cited_evidence_tree(c))).filter(F.substring("case_id", 6, 20).cast("bigint") % 7 != 2)
     return C.verify_cases(manifests, replayed, proofs)
 
 

@@ -217,10 +217,10 @@ def sweep_summary(spark, d):
     return out.select("cases_swept", "drifted", ((F.col("elapsed_seconds") > 0) & rate).alias("measured"))
 
 
-def _exported(spark, d):
+def _exported(spark, d, change=lambda sealed: sealed):
     path = scratch_path(spark, f"bundles-{uuid.uuid4().hex}")
     sealed = settle(L.chain_manifests(closed_manifests(spark, d)).drop("content_hash", "evidence_count"))
-    B.export_bundles(sealed, claims(spark, d), sample_policy(spark), path)
+    B.export_bundles(change(sealed), claims(spark, d), sample_policy(spark), path)
     return path
 
 
@@ -230,6 +230,15 @@ def export_bundles(spark, d):
     return spark.read.schema(B.CLAIM_SCHEMA).json(f"{path}/claims").groupBy("case_id").agg(F.count(F.lit(1)).alias("claims"))
 
 
-@query("a10_verify_bundles", f"with {BASE} select tenant_id, case_id, true as manifest_hash_valid, true as verdict_hash_matches, true as evidence_inclusion_valid, true as ok from cases")
+@query("a10_verify_bundles", f"""with {BASE} select tenant_id, case_id, o_orderkey % 11 not in (3, 4) as manifest_hash_valid, true as verdict_hash_matches,
+    o_orderkey % 11 <> 4 or case_id not in (select case_id from claims where len(evidence) > 0) as evidence_inclusion_valid, o_orderkey % 11 not in (3, 4) as ok from cases""")
 def verify_bundles(spark, d):
-    return B.verify_bundles(spark, _exported(spark, d)).drop("errors")
+    """After sealing, some manifests get another confidence and some another evidence root."""
+
+    def tamper(sealed):
+        key = F.substring("case_id", 6, 20).cast("bigint") % 11
+        confidence = F.when(key == 3, F.col("verdict_confidence") + 1).otherwise(F.col("verdict_confidence"))
+        root = F.when(key == 4, F.repeat(F.lit("ab"), F.lit(32))).otherwise(F.col("epoch_root"))
+        return sealed.withColumn("verdict_confidence", confidence).withColumn("epoch_root", root)
+
+    return B.verify_bundles(spark, _exported(spark, d, tamper)).drop("errors")
