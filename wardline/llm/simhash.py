@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from wardline.llm.common import put_down
 from wardline.llm.components import connected_components
+from wardline.session import small
 
 SEED = 42
 
@@ -83,11 +84,11 @@ def _blocks(n_blocks: int) -> list[int]:
 
 
 def _block_count(n: int, distance: int) -> int:
-    """As many blocks as leave about one unrelated fingerprint of ``n`` in a block key.  Any count finds every link."""
-    for blocks in range(distance + 2, 64):
-        if 64 * (blocks - distance) / blocks >= np.log2(max(n, 2)) or blocks >= 2 * distance:
+    """Enough blocks that few unrelated fingerprints of ``n`` share a block key.  Any count finds every link."""
+    for blocks in range(distance + 2, 4 * distance):
+        if 64 * (blocks - distance) / blocks >= np.log2(max(n, 2)) + 8:
             return blocks
-    return 2 * distance
+    return 4 * distance
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -98,51 +99,82 @@ def links(fps: DataFrame, distance: int = 4, pair_block: int = PAIR_BLOCK) -> Da
     """``a, b``: links between the distinct long values ``fp`` that connect all pairs within ``distance`` bits.
 
     *Candidates.*  The 64 bits are cut into blocks; two values within the distance agree on all but ``distance`` blocks,
-    so they share the key of at least one choice of the remaining ones.  Each pair is looked at under the first choice
-    that it shares.
+    so they share the key of at least one choice of the remaining ones.  The two values of a key of two are its smallest
+    and largest, and need no join.
+
+    *References.*  The smallest and largest value of a larger group are its own references: a member within the distance
+    of one is linked to it.  The components of these links are labels.  Pairs are looked at only between labels, each
+    under the first choice that it shares, so a cloud of near copies does not list all its pairs.
 
     *Pivots.*  Every value carries its distances to fixed reference fingerprints.  By the triangle inequality a pair
     whose distances to any reference differ by more than ``distance`` cannot be linked: it is discarded by its largest
     coordinate difference, and only survivors are verified by their own distance.
 
-    *Crowded keys.*  Where more than ``pair_block`` values share a key, pairs would grow with the square of the group.
-    Their members instead list every value within half the distance.  Two values meet in such a neighbour exactly if
-    they are within the distance, at most C(64,0..d/2) values meet in one, and each is linked to the smallest there.
+    *Crowded keys.*  Where more than ``pair_block`` values share a key, members list every value within half the distance.
+    Two values meet in such a neighbour exactly if they are within the distance, and at most C(64,0..d/2) values meet in
+    one, so this grows with the group and not with its square.
     """
     if distance % 2:
         raise ValueError("an even distance is needed")
     masks = _blocks(_block_count(fps.count(), distance))
     choices = list(combinations(range(len(masks)), len(masks) - distance))
     wanted = [sum(masks[i] for i in choice) for choice in choices]
-    pivots = [F.lit(signed(p)) for p in splitmix(PIVOTS)]
-    table = fps.select("fp", *(_apart(F.col("fp"), p).cast("byte").alias(f"d{i}") for i, p in enumerate(pivots)))
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(wanted)))
-    keyed = table.select("*", F.explode(keys).alias("k")).select(*table.columns, "k.choice", "k.key")
-    crowd = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    crowd = put_down(crowd, "simhash-keys")
-    few, many = crowd.where(F.col("n") <= pair_block), crowd.where(F.col("n") > pair_block).select("choice", "key")
-
-    shared = keyed.join(few.select("choice", "key"), ["choice", "key"], "left_semi")
-    x, y = shared.alias("x"), shared.alias("y")
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    keys = F.array(*(F.struct(F.lit(i).cast("short").alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(wanted)))
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.key")
+    groups = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    groups = put_down(groups.where("n > 1"), "simhash-keys")
+    members = put_down(keyed.join(small(groups.where("n > 2")), ["choice", "key"]), "simhash-members")
+
+    def pivoted(table: DataFrame, *values: str) -> DataFrame:
+        pivots = [F.lit(signed(p)) for p in splitmix(PIVOTS)]
+        return table.select("*", *(_apart(F.col(v), p).cast("byte").alias(f"{v}_{i}") for v in values for i, p in enumerate(pivots)))
+
+    def within(x: str, y: str) -> Column:
+        far = F.greatest(*(F.abs(F.col(f"{x}_{i}") - F.col(f"{y}_{i}")) for i in range(PIVOTS)))
+        return (far <= distance) & (_apart(F.col(x), F.col(y)) <= distance)
+
+    twos = pivoted(groups.where("n = 2"), "low", "high").where(within("low", "high")).select(F.col("low").alias("a"), F.col("high").alias("b"))
+
+    reference = F.least(*(F.when(within("fp", end), F.col(end)) for end in ("low", "high")), F.col("fp"))
+    told = pivoted(members, "fp", "low", "high").groupBy("fp").agg(F.min(reference).alias("label"), (F.max("n") > pair_block).alias("crowded"))
+    told = put_down(told, "simhash-labels")
+    labels = _relabelled(told, told.where("label <> fp").select(F.col("label").alias("a"), F.col("fp").alias("b")))
+
+    shared = pivoted(members.where(F.col("n") <= pair_block).join(labels.select("fp", "label"), "fp"), "fp")
+    x, y = (shared.select(*(F.col(c).alias(side + c.removeprefix("fp") if c.startswith("fp") else f"{side}_{c}") for c in shared.columns)) for side in ("x", "y"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)) for i, m in enumerate(wanted)))
-    spread = F.greatest(*(F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) for i in range(PIVOTS)))
-    pairs = x.join(
-        y,
-        (F.col("x.choice") == F.col("y.choice"))
-        & (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.fp") < F.col("y.fp"))
-        & (spread <= distance)
-        & (F.bit_count(differ) <= distance)
-        & (first == F.col("x.choice")),
-    ).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    same = (F.col("x_choice") == F.col("y_choice")) & (F.col("x_key") == F.col("y_key")) & (F.col("x") < F.col("y"))
+    pairs = x.join(y, same & (F.col("x_label") != F.col("y_label")) & within("x", "y") & (first == F.col("x_choice")))
+    pairs = pairs.select(F.col("x_label").alias("a"), F.col("y_label").alias("b"))
+
+    own = labels.where("label <> fp").select(F.col("label").alias("a"), F.col("fp").alias("b"))
+    return twos.union(own).union(pairs).union(_crowd_links(labels.where("crowded"), distance)).distinct()
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (``fp, label`` and more) with each label replaced by the root of its component in ``edges``."""
+    roots = connected_components(edges)
+    moved = labels.join(roots, F.col("label") == F.col("v"), "left").withColumn("label", F.coalesce("root", "label"))
+    return put_down(moved.drop("v", "root"), "simhash-labels")
 
+
+def _crowd_links(labels: DataFrame, distance: int) -> DataFrame:
+    """``a, b``: a link from the smallest value of its component to each other value of ``labels`` (``fp, label``).
+
+    Values that meet in a neighbour take its smallest label.  Only one new link for each label is followed, then labels
+    become those of the components found and the rest is looked at again, so that links never outnumber values.
+    """
     flips = [sum(1 << bit for bit in bits) for n in range(distance // 2 + 1) for bits in combinations(range(64), n)]
-    crowded = keyed.join(many, ["choice", "key"], "left_semi").select("fp").distinct()
     flipped = F.array(*(F.lit(signed(f)) for f in flips))
-    near = crowded.select("fp", F.explode(F.transform(flipped, lambda f: f.bitwiseXOR(F.col("fp")))).alias("neighbour"))
-    met = near.select(F.min("fp").over(Window.partitionBy("neighbour")).alias("a"), F.col("fp").alias("b"))
-    return pairs.union(met.where("a < b").distinct())
+    while True:
+        near = labels.select("label", F.explode(F.transform(flipped, lambda f: f.bitwiseXOR(F.col("fp")))).alias("neighbour"))
+        met = near.select("label", F.min("label").over(Window.partitionBy("neighbour")).alias("least"))
+        steps = met.where("least < label").groupBy("label").agg(F.min("least").alias("least"))
+        steps = put_down(steps, "simhash-steps")
+        if steps.isEmpty():
+            return labels.where("label <> fp").select(F.col("label").alias("a"), F.col("fp").alias("b"))
+        labels = _relabelled(labels, steps.select(F.col("label").alias("a"), F.col("least").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
