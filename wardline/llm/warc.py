@@ -142,11 +142,12 @@ def coalesce_ranges(selected: DataFrame, block_bytes: int = 4 << 20, gap_bytes:
     ).select("file", "start", "stop", "offsets")
 
 
-def read_records(selected: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def read_records(selected: DataFrame, folder: str, with_payload: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the selected index rows: ``page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload``.
 
     A response's digest and size are computed from the payload as read; a digest that differs from the record's header
-    raises.  A revisit has its header's digest and no size or payload.  ``url`` is as written in the archive.
+    raises.  A revisit has its header's digest and no size or payload.  ``url`` is as written in the archive.  A task reads
+    about ``task_bytes``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,10 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
                     )
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return coalesce_ranges(selected).mapInArrow(run, _RECORD)
+    # the table of reads is tiny beside what is read, so its own size must not decide the number of tasks
+    stored = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-stored // task_bytes))
+    return coalesce_ranges(selected).repartition(tasks, "file", "start").mapInArrow(run, _RECORD)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000) -> DataFrame:
