@@ -34,6 +34,7 @@ class Pieces:
         self.cost = {self.text[i]: (round(1e6 * math.log(2 + rank)), i) for rank, i in enumerate(ranked)}
         self.byte_cost = round(1e6 * math.log(2 + n))
         self.longest = max(map(len, self.cost))
+        self.begins = {p[:k] for p in self.cost for k in range(1, len(p) + 1)}
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.cost)
         self.raw = {i: p.replace(SPACE, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
@@ -70,15 +71,27 @@ class StreamingViterbi:
 
     def _extend(self, chars: str) -> None:
         text, cost, back = self.text + chars, self.cost, self.back
-        known, longest, byte_cost = self.pieces.cost.get, self.pieces.longest, self.pieces.byte_cost
-        for n in range(len(self.text) + 1, len(text) + 1):
-            best, length = cost[n - 1] + byte_cost * len(text[n - 1].encode()), 0
-            for start in range(max(n - longest, 0), n):
-                found = known(text[start:n])
-                if found is not None and (cost[start] + found[0] < best or not length and cost[start] + found[0] == best):
-                    best, length = cost[start] + found[0], n - start
-            cost.append(best)
-            back.append(length or 1)
+        known, begins = self.pieces.cost.get, self.pieces.begins
+        first, longest, byte_cost = len(self.text), self.pieces.longest, self.pieces.byte_cost
+        # forward from every position: what a piece may begin with ends the search for longer ones early
+        far = math.inf
+        cost += [far] * len(chars)
+        back += [1] * len(chars)
+        for start in range(max(first - longest + 1, 0), len(text)):
+            here = cost[start]
+            for end in range(start + 1, min(start + longest, len(text)) + 1):
+                part = text[start:end]
+                if part not in begins:
+                    break
+                found = known(part)
+                # only what ends in the new characters is open; of equal costs the longer last piece, begun earlier, stays
+                if end > first and found is not None and here + found[0] < cost[end]:
+                    cost[end], back[end] = here + found[0], end - start
+            nxt = start + 1
+            if nxt > first:
+                step = here + byte_cost * len(text[start].encode())
+                if step < cost[nxt]:
+                    cost[nxt], back[nxt] = step, 1
         self.text = text
         self.peak = max(self.peak, len(text))
 
