@@ -60,6 +60,22 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     )
 
 
+def test_short_passages_are_taken_out(spark):
+    import random
+
+    rng = random.Random(12)
+    rows, want = [], []
+    for n in (50, 51, 52, 58, 65):
+        passage = words(rng, n, 5000)
+        for _ in range(2):
+            before, behind = words(rng, 150, 5000), words(rng, 150, 5000)
+            rows.append((len(rows), f"{before} {passage} {behind}", "en", "s", 1))
+            want.append(f"{before} {passage} {behind}".split() if n == 50 else f"{before} {behind}".split())
+    assert max(len(t.encode()) for t in (passage,)) < 400
+    got = pipeline.repeated_passages(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()
+    assert [r["text"].split() for r in sorted(got)] == want
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []

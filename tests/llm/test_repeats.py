@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm.helpers import DOCUMENTS, awkward, nothing
+from tests.llm.helpers import DOCUMENTS, awkward, nothing, words
 from wardline.llm import repeats
 
 
@@ -72,6 +72,39 @@ def test_cut_keeps_columns_and_characters(spark):
         assert r["n_chars"] is None or r["n_chars"] == len(r["text"])
 
 
+def brute_words(rows, length):
+    """Texts left if every word within a repeated run of ``length`` words goes; white space does not count."""
+    counts = Counter()
+    for _, text in rows:
+        ws = (text or "").split()
+        counts.update(tuple(ws[i : i + length]) for i in range(len(ws) - length + 1))
+    out = []
+    for i, text in rows:
+        ws = (text or "").split()
+        gone = set()
+        for p in range(len(ws) - length + 1):
+            if counts[tuple(ws[p : p + length])] > 1:
+                gone.update(range(p, p + length))
+        out.append((i, [w for p, w in enumerate(ws) if p not in gone]))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_runs_of_words(spark, seed):
+    rng = random.Random(seed)
+    source = words(rng, 900, 5000).split()
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            a = rng.randrange(800)
+            parts += source[a : a + rng.randrange(40, 90)] + words(rng, rng.randrange(30), 5000).split()
+        rows.append((i, "".join(w + rng.choice([" ", "\n", " \t"]) for w in parts), None, None, None))
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    got = [(r["doc_id"], (r["text"] or "").split()) for r in repeats.cut_repeats(docs, 10**6, words=51).collect()]
+    assert sorted(got, key=repr) == brute_words([r[:2] for r in rows], 51)
+
+
 def test_no_rows(spark):
     assert repeats.remove_repeats(nothing(spark)).collect() == []
     assert repeats.cut_repeats(nothing(spark)).collect() == []

@@ -51,12 +51,28 @@ def _pair(front: np.ndarray, back: np.ndarray) -> np.ndarray:
     return mixed
 
 
+def word_ids(data: bytes) -> np.ndarray:
+    """64-bit identifiers of a text's words: runs of bytes other than space and U+0009 to U+000D."""
+    import xxhash
+
+    words = data.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first bytes of a text's words, and of the bytes behind their last ones."""
+    byte = np.frombuffer(data, np.uint8)
+    inside = np.r_[False, (byte != 0x20) & ((byte < 0x09) | (byte > 0x0D)), False]
+    return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+
+
 class Buckets:
-    """Bucket identifiers of the suffixes of one stretch of bytes at depths 1, 2, 4, ..., each made from the one before."""
+    """Bucket identifiers of the suffixes of one stretch of bytes or words at depths 1, 2, 4, ..., each made from the one before."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | np.ndarray):
         self.n = len(data)
-        byte = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _ODD
+        data = np.frombuffer(data, np.uint8).astype(np.uint64) if isinstance(data, bytes) else data
+        byte = (data + np.uint64(1)) * _ODD
         self.levels = [byte ^ (byte >> _SHIFT)]
 
     def level(self, k: int) -> np.ndarray:
@@ -98,7 +114,7 @@ def least_in_reach(ids: np.ndarray, reach: int) -> np.ndarray:
     return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def anchors(data: bytes, length: int):
+def anchors(data: bytes | np.ndarray, length: int):
     """Rows (anchor, first window, last window, id at depth ``half``, id of the covering span) of a text.
 
     ``half`` is ``length // 2``; the windows that start in [first, last] have their least q-gram at the anchor.
@@ -123,7 +139,7 @@ def anchors(data: bytes, length: int):
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def blocks(data: bytes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, length: int):
+def blocks(data: bytes | np.ndarray, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, length: int):
     """Rows (source row, first, last, id of what all windows share, id of the cover) of the blocks of the given intervals.
 
     A block holds the windows that start ``size * i`` to ``size * i + size - 1`` bytes before the anchor.
@@ -158,12 +174,12 @@ def _marked(key, anchor, first, last, head, span, open_) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(open_, pa.bool_())], _FIELDS)
 
 
-def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(rows: DataFrame, length: int, words: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, parts = [], []
             for key, text in zip(batch.column(0), batch.column(1)):
-                found = anchors(text.as_py(), length)
+                found = anchors(word_ids(text.as_py()) if words else text.as_py(), length)
                 if found:
                     keys.append(np.full(len(found[0]), key.as_py(), np.int64))
                     parts.append(found)
@@ -174,7 +190,7 @@ def _anchor_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _MARKED)
 
 
-def _block_rows(asked: DataFrame, size: int, length: int) -> DataFrame:
+def _block_rows(asked: DataFrame, size: int, length: int, words: bool = False) -> DataFrame:
     """``asked`` has ``key, text`` and a list of (anchor, first, last, open); one row for each block of ``size`` windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +199,8 @@ def _block_rows(asked: DataFrame, size: int, length: int) -> DataFrame:
                 wanted = wanted.values
                 anchor, first, last = (wanted.field(i).to_numpy() for i in range(3))
                 open_ = wanted.field(3).to_numpy(zero_copy_only=False)
-                source, begin, end, shared, cover = blocks(text.as_py(), anchor, first, last, size, length)
+                data = word_ids(text.as_py()) if words else text.as_py()
+                source, begin, end, shared, cover = blocks(data, anchor, first, last, size, length)
                 yield _marked(np.full(len(source), key.as_py()), anchor[source], begin, end, shared, cover, open_[source])
 
     return asked.mapInArrow(run, _MARKED)
@@ -208,44 +225,60 @@ def _sorted_out(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled.select("key", "first", "last"), further
 
 
-def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
-    """``key, first, last``: intervals of starts of repeated windows, for ``rows`` of ``key`` (long) and ``text`` (binary)."""
-    found, further = _sorted_out(put_down(_anchor_rows(rows, length), "anchors"))
+def repeated_windows(rows: DataFrame, length: int, words: bool = False) -> DataFrame:
+    """``key, first, last``: intervals of starts of repeated windows, for ``rows`` of ``key`` (long) and ``text`` (binary).
+
+    Windows have ``length`` bytes or, if asked for, words; so have the starts.
+    """
+    found, further = _sorted_out(put_down(_anchor_rows(rows, length, words), "anchors"))
     for size in (BLOCK, 1):
         wanted = further.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "first", "last", "open")).alias("wanted"))
         asked = rows.join(wanted, F.col("key") == F.col("k")).select("key", "text", "wanted")
-        settled, further = _sorted_out(put_down(_block_rows(asked, size, length), "blocks"))
+        settled, further = _sorted_out(put_down(_block_rows(asked, size, length, words), "blocks"))
         found = found.union(settled)
     return found
 
 
-def _union(intervals: list, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes covered by windows that start in any of the intervals."""
-    first, last = (np.array(x, np.int64) for x in zip(*((i["first"], i["last"]) for i in intervals)))
-    order = np.argsort(first, kind="stable")
-    begin, end = first[order], np.maximum.accumulate(last[order] + length)
+def _union(ranges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of bytes in any of the given ranges, each from its begin to before its end."""
+    begin, end = (np.concatenate(x) for x in zip(*ranges))
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
     new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
     return begin[new], end[np.r_[new[1:] - 1, len(end) - 1]]
 
 
-def _cut(data: bytes, intervals: list | None, length: int):
+def _cut(data: bytes, intervals: list | None, length: int, words: int | None = None):
     """(kept bytes, number removed, number of runs)."""
     if not intervals:
         return data, 0, 0
-    begin, end = _union(intervals, length)
+    ranges = []
+    for by_word in (False, True):
+        wanted = [(i["first"], i["last"]) for i in intervals if i["by_word"] == by_word]
+        if wanted:
+            first, last = np.array(wanted, np.int64).T
+            if by_word:
+                starts, ends = word_edges(data)
+                ranges.append((starts[first], ends[last + words - 1]))
+            else:
+                ranges.append((first, last + length))
+    begin, end = _union(ranges)
     edges = zip([0, *end.tolist()], [*begin.tolist(), len(data)])
     return b"".join(data[a:b] for a, b in edges), int((end - begin).sum()), len(begin)
 
 
-def _interval_lists(ids_and_texts: DataFrame, length: int) -> DataFrame:
+def _interval_lists(ids_and_texts: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """``cut_key, cut``: the intervals of each text that has repeats, for a table of an id and a text.
 
     A list is bounded by the length of its text.
     """
     doc_id, text = ids_and_texts.columns
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
-    found = repeated_windows(ids_and_texts.select(F.xxhash64(doc_id, text).alias("key"), body), length)
-    lists = found.groupBy(F.col("key").alias("cut_key")).agg(F.collect_set(F.struct("first", "last")).alias("cut"))
+    rows = ids_and_texts.select(F.xxhash64(doc_id, text).alias("key"), body)
+    found = repeated_windows(rows, length).withColumn("by_word", F.lit(False))
+    if words:
+        found = found.union(repeated_windows(rows, words, words=True).withColumn("by_word", F.lit(True)))
+    lists = found.groupBy(F.col("key").alias("cut_key")).agg(F.collect_set(F.struct("by_word", "first", "last")).alias("cut"))
     return put_down(lists, "intervals")
 
 
@@ -280,10 +313,13 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     )
 
 
-def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, words: int | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with repeated bytes taken out of ``text`` and, if there is such a column, the
     new number of characters in ``n_chars``.
 
+    With ``words``, every run of as many words that also starts anywhere else is taken out as well, however few bytes it
+    has: from its first word's first byte to its last word's last.  Equal words may be parted by different white space.
+
     A character of which only some bytes are repeated goes as a whole.  Nulls stay null; a text may become empty.
     """
 
@@ -294,14 +330,14 @@ def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 if not cut.is_valid or not text.is_valid:
                     texts.append(text.as_py())
                 else:
-                    texts.append(_cut(text.as_py().encode(), cut.as_py(), length)[0].decode(errors="ignore"))
+                    texts.append(_cut(text.as_py().encode(), cut.as_py(), length, words)[0].decode(errors="ignore"))
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *rest], batch.schema.names[:1] + batch.schema.names[2:])
 
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = {name: f"c{i}" for i, name in enumerate(names)}
-    lists = _interval_lists(plain.select(at["doc_id"], at["text"]), length)
+    lists = _interval_lists(plain.select(at["doc_id"], at["text"]), length, words)
     others = [c for c in plain.columns if c != at["text"]]
     marked = plain.join(lists, F.xxhash64(at["doc_id"], at["text"]) == F.col("cut_key"), "left").select(at["text"], "cut", *others)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.select(at["text"], *others).schema)
