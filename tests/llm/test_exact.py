@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, nothing
+from tests.llm.helpers import DOCUMENTS, awkward, nothing
 from wardline.llm import exact
 
 
@@ -42,6 +42,14 @@ def test_kept_rows_have_every_column(spark):
     assert len(set(texts)) == len(texts)
 
 
+def test_only_the_judged_row_goes(spark):
+    rows = [(1, "copy"), (None, "copy"), (None, "only here"), (2, "copy"), (2, "here alone"), (3, None), (None, ""), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENTS)
+    kept = [(r["doc_id"], r["text"]) for r in exact.drop_exact_duplicates(docs).collect()]
+    want = [(1, "copy"), (None, "only here"), (2, "here alone"), (3, None), (None, "x"), (None, "x")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_no_rows(spark):
     assert exact.exact_duplicates(nothing(spark)).collect() == []
     assert exact.drop_exact_duplicates(nothing(spark)).collect() == []

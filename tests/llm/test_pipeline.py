@@ -76,6 +76,18 @@ def test_short_passages_are_taken_out(spark):
     assert [r["text"].split() for r in sorted(got)] == want
 
 
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    import random
+
+    rng = random.Random(13)
+    a, b, c = (words(rng, 100, 5000) for _ in range(3))
+    rows = [(1, a), (None, a), (None, b), (2, a), (2, c), (3, c + " tail"), (3, words(rng, 100, 5000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENTS)
+    left = pipeline.near_copies(spark, pipeline.exact_copies(spark, docs, ""), "")
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[2], rows[4], rows[6]], key=repr)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     assert pipeline.run(spark, str(tmp_path)).collect() == []

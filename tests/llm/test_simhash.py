@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from tests.llm.helpers import awkward, nothing, words
+from tests.llm.helpers import DOCUMENTS, awkward, nothing, words
 from wardline.llm import simhash
 
 
@@ -89,5 +89,14 @@ def test_long_text_and_dropping(spark):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == components
 
 
+def test_only_the_judged_row_goes(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 100, 5000), words(rng, 100, 5000)
+    rows = [(1, a), (2, a.upper()), (2, b), (None, a.title()), (None, words(rng, 50, 5000))]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENTS)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=repr) == sorted((r for r in rows if r != (2, a.upper())), key=repr)
+
+
 def test_no_rows(spark):
     assert simhash.near_duplicates(nothing(spark)).collect() == []

@@ -49,7 +49,11 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, all columns as they are.
 
-    Of rows that repeat id and text alike, all stay.
+    Of rows that repeat id and text alike, all stay.  A decision holds for an id and a text together, so another text
+    under the same id, null included, is not touched by it.  A group of null ids alone stays whole.
     """
-    gone = exact_duplicates(docs, keep).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    gone = exact_duplicates(docs, keep).where(~F.col("kept")).select(
+        F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")
+    )
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.sha2(text_or_empty(), 256) == gone["gone_sha"])
+    return docs.join(gone, same, "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardline.llm.common import put_down
+from wardline.llm.common import put_down, text_or_empty
 from wardline.llm.components import connected_components
 from wardline.session import small
 
@@ -203,8 +203,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row of each component of :func:`near_duplicates`, that with the smallest id; all columns as they are.
 
-    Rows with a null id stay, and so do rows that repeat the smallest id.
+    Rows with a null id stay, and so do rows that repeat the smallest id.  A decision holds for an id and a fingerprint
+    together, so another text under the same id is not touched by it.
     """
-    found = near_duplicates(docs, shingle, distance)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    found = near_duplicates(docs, shingle, distance).where(F.col("component_id") < F.col("doc_id"))
+    worse = found.select(F.col("doc_id").alias("gone_id"), F.col("fingerprint").alias("gone_fp")).distinct()
+    row = F.struct("doc_id", F.xxhash64(text_or_empty()).alias("text_hash")).alias("doc_id")
+    judged = fingerprints(docs.select(row, "text"), shingle)
+    same = (F.col("doc_id.doc_id") == F.col("gone_id")) & (F.lower(F.lpad(F.hex("fp"), 16, "0")) == F.col("gone_fp"))
+    gone = judged.join(worse, same).select("gone_id", F.col("doc_id.text_hash").alias("gone_text")).distinct()
+    same = (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_text"])
+    return docs.join(gone, same, "left_anti")
