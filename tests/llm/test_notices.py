@@ -71,6 +71,16 @@ def test_every_edit_within_the_bound_is_found():
                 assert edits <= allowed and distance(notice, joined[start:end].decode()) <= edits
 
 
+def test_places_on_both_sides_of_a_better_one():
+    notice = "licensed under the apache license version 2 0"
+    parts = [notice.replace("under", "undr"), notice, notice.replace("apache", "apche"), notice, notice.replace("version", "versoin")]
+    for chosen in (parts[:2], parts[1:3], parts, parts[::-1]):
+        joined = f" {' '.join(chosen)} ".encode()
+        places = notices.fuzzy_places(joined, notice, notices.edits_allowed(notice, 0.08))
+        assert [joined[a:b].decode() for a, b, _ in places] == chosen
+        assert [e for *_, e in places] == [distance(notice, c) for c in chosen]
+
+
 def test_spans_are_words(spark):
     docs = spark.createDataFrame([(1, "One two. Released under teh MIT Licence. Three")], "doc_id long, text string")
     row = notices.scan(docs, share=0.15).first()

@@ -64,7 +64,8 @@ def fuzzy_places(joined: bytes, notice: str, edits: int) -> list[tuple[int, int,
     """(start, end, edits) of places of ``notice`` in words joined by, and between, single spaces.
 
     Exact seeds locate candidates; around each, the notice is matched with at most ``edits`` edits.  Candidates whose
-    surroundings overlap are looked at together, so repeated seeds do not repeat the work.
+    surroundings overlap are looked at together, so repeated seeds do not repeat the work.  The best match of such a region
+    comes first, and then those on either side of it.
     """
     reach: list[list[int]] = []
     near = []
@@ -76,12 +77,13 @@ def fuzzy_places(joined: bytes, notice: str, edits: int) -> list[tuple[int, int,
         else:
             reach.append([max(low, 0), high])
     verify, places = _verifier(notice, edits), []
-    for low, high in reach:
-        at = low
-        while found := verify.search(joined, at, min(high, len(joined))):
+    rest = [(low, min(high, len(joined))) for low, high in reach]
+    while rest:
+        low, high = rest.pop()
+        if high - low >= len(notice.encode()) - edits and (found := verify.search(joined, low, high)):
             places.append((found.start(), found.end(), sum(found.fuzzy_counts)))
-            at = found.end()
-    return places
+            rest += [(low, found.start()), (found.end(), high)]
+    return sorted(places)
 
 
 def scan_text(data: bytes, phrases: Mapping[str, str], notices: Mapping[str, str], share: float):
