@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import DOCUMENTS, awkward, nothing, words
 from wardline.llm import imatch
 
@@ -71,6 +73,31 @@ def test_band_against_brute_force(spark):
     assert got == {r["term"] for r in want.collect()}
 
 
+def test_band_counts_copies_once(spark):
+    rng = random.Random(5)
+    text = words(rng, 50, 500)
+    rows = [(text,)] * 150 + [(words(rng, 50, 5000),) for _ in range(299)]
+    docs = spark.createDataFrame(rows, "text string")
+    every = imatch.Lexicons(rates=(1 / 64,), low=1 / 300)
+    got = {r["term"] for r in imatch.band(docs, every).collect()}
+    own = spark.createDataFrame([(text,)], "text string").select(imatch.term_hashes(F.col("text"), every)).first()[0]
+    assert len(own) > 10 and len(set(own) & got) > 0.8 * len(own)
+
+
+def test_hot_texts_stay_near_their_edits(spark):
+    rng = random.Random(6)
+    text, template = words(rng, 400, 90000), words(rng, 300, 90000)
+    texts = [text] * 100 + [template + f" n{i}" for i in range(100)] + [words(rng, 400, 3000) for _ in range(100)]
+    order = list(range(300))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in zip(order, texts)], DOCUMENTS)
+    got = {r["doc_id"]: r for r in imatch.fingerprint_edits(docs).collect()}
+    of = dict(zip(order, texts))
+    for start in (0, 100):  # copies of one text, and one template above the band
+        really = [got[i] for i in order[start : start + 100] if i < 299 and of[i + 1][:40] != of[i][:40]]
+        assert len(really) > 30 and sum(r["near_edited"] for r in really) / len(really) > 0.25
+
+
 def test_fixed_documents(spark):
     one = spark.createDataFrame([(5, "Only one text here", None, None, None)], DOCUMENTS)
     row = imatch.fingerprint_edits(one).first()

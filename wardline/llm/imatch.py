@@ -20,13 +20,16 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Hash values of terms are cut to this range to draw lexicons.
 RANGE = 1 << 16
 
+#: Lexicons that must have terms to tell something.
+FEW = 8
+
 
 @dataclass(frozen=True)
 class Lexicons:
     """Randomised subsets of the vocabulary, ``per_rate`` of them with each share of the terms.
 
     A term is in one lexicon at most.  Dense lexicons see a document with few terms, sparse ones stay unchanged when some
-    terms of a long document change.  ``low`` and ``high`` bound a term's document frequency, as shares of the documents;
+    terms of a long document change.  ``low`` and ``high`` bound a term's document frequency, as shares of distinct texts;
     the band of inverse document frequency is log(1 / high) to log(1 / low).
     """
 
@@ -63,13 +66,14 @@ def term_hashes(text: Column, lexicons: Lexicons) -> Column:
 
 
 def band(texts: DataFrame, lexicons: Lexicons) -> DataFrame:
-    """``term``: hashes of the lexicons' terms whose document frequency, over all ``texts`` (``text``), is in the band.
+    """``term``: hashes of the lexicons' terms whose document frequency, over all distinct ``texts`` (``text``), is in the band.
 
-    No document frequency below ``low`` passes, so the table has at most (terms of an average document) / ``low`` rows,
+    Copies count once, or the terms of a text that many rows hold would leave the band.  No document frequency below ``low`` passes, so the table has at most (terms of an average document) / ``low`` rows,
     however many documents there are.
     """
-    n = texts.count()
-    counts = texts.select(F.explode(term_hashes(F.col("text"), lexicons)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = texts.select(F.xxhash64("text")).distinct().count()
+    distinct = texts.select(F.xxhash64("text").alias("h"), term_hashes(F.col("text"), lexicons).alias("terms")).distinct()
+    counts = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # in a handful of documents every share is above the band: a term of two documents is the rarest that can tell
     at_most = max(n * lexicons.high, 2)
     return counts.where((F.col("df") >= n * lexicons.low) & (F.col("df") <= at_most)).select("term")
@@ -112,7 +116,7 @@ def _slots(hashes: Column) -> Column:
     return F.when(F.size(hashes) > 0, F.xxhash64(F.array_sort(hashes)))
 
 
-def likeness(a: Column, b: Column, a_all: Column, b_all: Column, lexicons: Lexicons, least: int = 8) -> Column:
+def likeness(a: Column, b: Column, a_all: Column, b_all: Column, lexicons: Lexicons, least: int = FEW) -> Column:
     """Share of equal lexicons of two maps from lexicon to hash, 0 to 1.
 
     It is taken at the sparsest rate with at least ``least`` lexicons that have terms in either text, else at the densest
@@ -141,7 +145,8 @@ def fingerprint_edits(docs: DataFrame, lexicons: Lexicons = Lexicons()) -> DataF
 
     The edited text has the last quarter of the text's code points (rounded down) replaced by as many, or all, from the
     start of the next document's text.  ``near_edited`` and ``near_next`` are the :func:`likeness` of the text's
-    fingerprint to the edited text's and to the next document's.  The fingerprint of a text depends on the text and on the
+    fingerprint to the edited text's and to the next document's.  A text with terms of the band in fewer than ``FEW``
+    lexicons is known by the lexicons of all its terms; a pair with such a text is compared by those.  The fingerprint of a text depends on the text and on the
     corpus's document frequencies, so equal texts have equal fingerprints.
 
     Null texts are empty.  The only document is its own next one.  Ids may be null, which come first, and repeat.  No rows
@@ -163,22 +168,40 @@ def fingerprint_edits(docs: DataFrame, lexicons: Lexicons = Lexicons()) -> DataF
     row = ["part", "k", "doc_id", "guest", "n_chars", "sha", "all_a", "all_b"]
     terms = base.select(*row, F.explode_outer(sides).alias("t")).select(*row, "t.term", "t.side")
     terms = terms.join(F.broadcast(known.withColumn("in_band", F.lit(True))), "term", "left")
-    slot = F.when(F.col("in_band"), lexicons.slot(drawn(F.col("term"))))
+    slot = lexicons.slot(drawn(F.col("term")))
     # rows of a text lie in one partition, by its range: neither grouping moves them
     by_slot = terms.withColumn("slot", slot).groupBy(*row, "slot").agg(
-        _slots(F.collect_list(F.when(F.col("side") != 2, F.col("term")))).alias("ha"),
-        _slots(F.collect_list(F.when(F.col("side") != 1, F.col("term")))).alias("hb"),
-    )
+        *(
+            _slots(F.collect_list(F.when((F.col("side") != without) & known_only, F.col("term")))).alias(name)
+            for name, without, known_only in (
+                ("ha", 2, F.col("in_band")), ("hb", 1, F.col("in_band")), ("wa", 2, F.lit(True)), ("wb", 1, F.lit(True))
+            )
+        )
+    )
     pairs = lambda h: F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull() & F.col(h).isNotNull(), F.struct("slot", h))))
-    prints = by_slot.groupBy(*row).agg(pairs("ha").alias("fa"), pairs("hb").alias("fb"))
+    prints = by_slot.groupBy(*row).agg(
+        pairs("ha").alias("fa"), pairs("hb").alias("fb"), pairs("wa").alias("ga"), pairs("wb").alias("gb")
+    )
     line = Window.partitionBy("part").orderBy("k")
-    ready = prints.select("*", F.lead("fa").over(line).alias("fn"), F.lead("all_a").over(line).alias("all_n")).where(~F.col("guest"))
+    following = (F.lead(c).over(line).alias(name) for c, name in (("fa", "fn"), ("ga", "gn"), ("all_a", "all_n")))
+    ready = prints.select("*", *following).where(~F.col("guest"))
+
+    def near(side: str) -> Column:
+        # with few terms in the band on either side the lexicons of all terms tell
+        fa, ga, all_a, f, g, every = (F.col(c) for c in ("fa", "ga", "all_a", f"f{side}", f"g{side}", f"all_{side}"))
+        bare = (F.size(fa) < FEW) | (F.size(f) < FEW)
+        return likeness(F.when(bare, ga).otherwise(fa), F.when(bare, g).otherwise(f), all_a, every, lexicons)
+
+    def shown(side: str) -> Column:
+        f, g = F.col(f"f{side}"), F.col(f"g{side}")
+        return _written(F.when(F.size(f) < FEW, g).otherwise(f), F.col(f"all_{side}"), lexicons)
+
     return ready.select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
         "n_chars",
         F.col("sha").alias("edited_sha256"),
-        _written(F.col("fa"), F.col("all_a"), lexicons).alias("fingerprint"),
-        _written(F.col("fb"), F.col("all_b"), lexicons).alias("edited_fingerprint"),
-        likeness(F.col("fa"), F.col("fb"), F.col("all_a"), F.col("all_b"), lexicons).alias("near_edited"),
-        likeness(F.col("fa"), F.col("fn"), F.col("all_a"), F.col("all_n"), lexicons).alias("near_next"),
+        shown("a").alias("fingerprint"),
+        shown("b").alias("edited_fingerprint"),
+        near("b").alias("near_edited"),
+        near("n").alias("near_next"),
     )
