@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +17,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def put_down(df: DataFrame, name: str) -> DataFrame:
+#: Folders written inside each open :func:`scope`, the innermost last.
+_OPEN: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("open scopes", default=())
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are put down inside are removed at the end, so only eager steps may read them.
+
+    A table put down with ``kept`` outlives the scope; it belongs to the next outer one, if there is any.
+    """
+    written: dict[str, SparkSession] = {}
+    token = _OPEN.set((*_OPEN.get(), written))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path, spark in written.items():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def put_down(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and go on from the copy.
 
     The copy cuts the lineage and outlives executors; each call takes a folder of its own.  Shuffle files of
-    the write are given up as soon as it has ended.
+    the write are given up as soon as it has ended.  The folder is removed with the :func:`scope` around, see there.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    around = _OPEN.get()[: -1 if kept else None]
+    if around:
+        around[-1][path] = spark
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")

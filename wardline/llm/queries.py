@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import exact, imatch, langid, notices, packing, repeats, sentencepieces, simhash, urls, warc
+from wardline.llm import exact, hardnegatives, imatch, langid, notices, packing, repeats, secrets, sentencepieces, simhash, urls, warc, whitening
 from wardline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,71 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query(
+    "op11_hardnegatives",
+    """
+    with e as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+                      list_transform(embedding, lambda c: floor(256 * c::double)) as x
+               from embeddings
+               where vec_id is not null and label is not null and embedding is not null
+                     and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+         s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+               from e a, e b where a.vec_id % 100 = 0 and (a.label <> b.label or a.vec_id <> b.vec_id)),
+         p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+               qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select anchor_id, positive_id, (row_number() over hits)::int as rank, vec_id as negative_id, positive_score, score as negative_score
+    from p join s using (anchor_id)
+    where not same and 80 * positive_score <= 100 * score and score <= positive_score
+    window hits as (partition by anchor_id, positive_id order by score desc, vec_id)
+    qualify row_number() over hits <= 5
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_table(read_table(spark, sf_dir, "embeddings"))
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(
+    "op13_secrets",
+    f"""
+    with d as (select row_number() over () as r, doc_id, coalesce(source, '') as owner, coalesce(text, '') as body from documents),
+         k(nth, kind, pattern) as (values {", ".join(f"({n}, '{kind}', {_text(p)})" for n, (kind, p) in enumerate(secrets.PATTERNS.items(), 1))}),
+         m as (select r, owner, nth, kind, regexp_extract_all(body, pattern) as ms, string_split_regex(body, pattern) as gs from d, k),
+         u as (select r, owner, nth, kind, unnest(ms) as m, unnest(gs[:len(ms)]) as g, unnest(range(len(ms))) as i from m where len(ms) > 0),
+         e as (select *, sum(length(g) + length(m)) over (partition by r, nth order by i)::bigint as ends,
+                      case when kind = 'assign' then regexp_replace(m, {_text(secrets.LEAD)}, '') else m end as value from u),
+         p as (select *, ends - length(m) as starts, ends - length(value) as start_at from e where kind <> 'assign' or length(value) >= {secrets.ASSIGNED}),
+         c as (select distinct r, owner, start_at, ends, value from p where length(value) >= {secrets.JUDGED}),
+         h as (select value, count(distinct owner) as owners from c group by value),
+         j as (select r, start_at, ends, case when owners >= 3 then 'copied' else 'live' end as kind
+               from c join h using (value)
+               where owners >= 3 or (regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+                     and len(list_distinct(string_split(value, ''))) >= 8 and not regexp_matches(value, {_text(secrets.MADE_UP)}))),
+         s as (select r, starts, nth, ends, kind from p where nth <= 3
+               union all select r, start_at, case kind when 'copied' then 4 else 5 end, ends, kind from j),
+         t as (select r, {", ".join(f"count(*) filter (nth = {n}) as n_{kind}" for n, kind in enumerate(secrets.BASE + secrets.ADDED, 1))},
+                      string_agg(kind || ':' || starts || ':' || ends, ',' order by starts, nth, ends) filter (nth <= 3) as base,
+                      string_agg(kind || ':' || starts || ':' || ends, ',' order by starts, nth, ends) as spans
+               from s group by r)
+    select doc_id, {", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in secrets.BASE + secrets.ADDED)},
+           sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from d left join t using (r)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners are sources; a repository is a source and language."""
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
