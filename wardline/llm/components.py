@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import put_down
+from wardline.llm.common import put_down, scope
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,6 +15,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     from round to round.  Labels are written to the shared folder after every round.  Minimums are folded before the
     shuffle; the joins of a vertex with many edges are ordinary equi-joins that AQE splits.
     """
+    with scope():
+        return put_down(_labels(edges), "components", kept=True)
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = put_down(both.where("a <> b").distinct(), "edges")
     labels = put_down(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("root")), "labels")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import put_down, text_or_empty
+from wardline.llm.common import put_down, scope, text_or_empty
 
 #: Depth of the initial buckets.
 Q = 16
@@ -230,15 +230,29 @@ def repeated_windows(rows: DataFrame, length: int, words: bool = False) -> DataF
 
     Windows have ``length`` bytes or, if asked for, words; so have the starts.
     """
-    found, further = _sorted_out(put_down(_anchor_rows(rows, length, words), "anchors"))
+    found, further = _settle(_anchor_rows(rows, length, words), "anchors")
     for size in (BLOCK, 1):
-        wanted = further.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "first", "last", "open")).alias("wanted"))
-        asked = rows.join(wanted, F.col("key") == F.col("k")).select("key", "text", "wanted")
-        settled, further = _sorted_out(put_down(_block_rows(asked, size, length, words), "blocks"))
+        asked = rows.join(further, F.col("key") == F.col("k")).select("key", "text", "wanted")
+        settled, further = _settle(_block_rows(asked, size, length, words), "blocks")
         found = found.union(settled)
     return found
 
 
+def _settle(marked: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`_sorted_out`, what goes on as a list for each text; only the two results stay on disk.
+
+    Most shared parts occur once: their rows are left out before anything else is grouped.
+    """
+    with scope():
+        with scope():
+            marked = put_down(marked, name)
+            heads = marked.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
+            marked = put_down(marked.join(heads, "head", "left_semi").select(*_FIELDS), "shared", kept=True)
+        settled, further = _sorted_out(marked)
+        wanted = further.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "first", "last", "open")).alias("wanted"))
+        return put_down(settled, "settled", kept=True), put_down(wanted, "further", kept=True)
+
+
 def _union(ranges: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes in any of the given ranges, each from its begin to before its end."""
     begin, end = (np.concatenate(x) for x in zip(*ranges))
@@ -273,13 +287,17 @@ def _interval_lists(ids_and_texts: DataFrame, length: int, words: int | None = N
     A list is bounded by the length of its text.
     """
     doc_id, text = ids_and_texts.columns
+    with scope():
+        return put_down(_listed(ids_and_texts, doc_id, text, length, words), "intervals", kept=True)
+
+
+def _listed(ids_and_texts: DataFrame, doc_id: str, text: str, length: int, words: int | None) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     rows = ids_and_texts.select(F.xxhash64(doc_id, text).alias("key"), body)
     found = repeated_windows(rows, length).withColumn("by_word", F.lit(False))
     if words:
         found = found.union(repeated_windows(rows, words, words=True).withColumn("by_word", F.lit(True)))
-    lists = found.groupBy(F.col("key").alias("cut_key")).agg(F.collect_set(F.struct("by_word", "first", "last")).alias("cut"))
-    return put_down(lists, "intervals")
+    return found.groupBy(F.col("key").alias("cut_key")).agg(F.collect_set(F.struct("by_word", "first", "last")).alias("cut"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
