@@ -79,8 +79,9 @@ def test_marker_in_text_becomes_a_space(encoder):
 
 
 def test_memo_is_bounded(encoder, monkeypatch):
-    monkeypatch.setattr(sp, "MEMO", 50)
+    monkeypatch.setattr(sp, "WORDS", 50)
+    monkeypatch.setattr(sp, "PARTS", 60)
     small = sp.Encoder(PATH)
     text = words(random.Random(3), 500, 10_000)
     assert small.encode(text) == encoder.encode(text)
-    assert len(small) <= 50
+    assert len(small) <= 50 and len(small.parts) <= 60

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,10 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 
-#: Entries of a worker's memo of word ids, which starts anew when full, and the longest word that it takes.
-MEMO, MEMO_CHARS = 1 << 20, 40
+#: Entries of a worker's memos of words and of their parts, which start anew when full, and the longest word they take.
+WORDS, PARTS, MEMO_CHARS = 1 << 19, 1 << 19, 40
+
+RUNS = re.compile(" +[^ ]*")
 
 
 class Pieces:
@@ -34,7 +38,15 @@ class Pieces:
         self.cost = {self.text[i]: (round(1e6 * math.log(2 + rank)), i) for rank, i in enumerate(ranked)}
         self.byte_cost = round(1e6 * math.log(2 + n))
         self.longest = max(map(len, self.cost))
-        self.begins = {p[:k] for p in self.cost for k in range(1, len(p) + 1)}
+        #: Pieces by their characters; the cost of the piece that ends at a node is under the empty string.
+        self.trie: dict = {}
+        for piece, (cost, _) in self.cost.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = cost
+        #: Neighbouring characters within a piece; between others every path has a border.
+        self.inside = {p[k : k + 2] for p in self.cost for k in range(len(p) - 1)}
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.cost)
         self.raw = {i: p.replace(SPACE, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
@@ -71,27 +83,24 @@ class StreamingViterbi:
 
     def _extend(self, chars: str) -> None:
         text, cost, back = self.text + chars, self.cost, self.back
-        known, begins = self.pieces.cost.get, self.pieces.begins
-        first, longest, byte_cost = len(self.text), self.pieces.longest, self.pieces.byte_cost
-        # forward from every position: what a piece may begin with ends the search for longer ones early
+        trie, first, longest, byte_cost = self.pieces.trie, len(self.text), self.pieces.longest, self.pieces.byte_cost
+        # forward from every position, along the trie of pieces
         far = math.inf
         cost += [far] * len(chars)
         back += [1] * len(chars)
         for start in range(max(first - longest + 1, 0), len(text)):
-            here = cost[start]
-            for end in range(start + 1, min(start + longest, len(text)) + 1):
-                part = text[start:end]
-                if part not in begins:
+            here, node, end = cost[start], trie, start
+            for char in text[start : start + longest]:
+                if char not in node:
                     break
-                found = known(part)
+                node, end = node[char], end + 1
                 # only what ends in the new characters is open; of equal costs the longer last piece, begun earlier, stays
-                if end > first and found is not None and here + found[0] < cost[end]:
-                    cost[end], back[end] = here + found[0], end - start
-            nxt = start + 1
-            if nxt > first:
+                if "" in node and end > first and here + node[""] < cost[end]:
+                    cost[end], back[end] = here + node[""], end - start
+            if start >= first and (end == start or "" not in trie[text[start]]):  # no piece of one character: its bytes
                 step = here + byte_cost * len(text[start].encode())
-                if step < cost[nxt]:
-                    cost[nxt], back[nxt] = step, 1
+                if step < cost[start + 1]:
+                    cost[start + 1], back[start + 1] = step, 1
         self.text = text
         self.peak = max(self.peak, len(text))
 
@@ -135,6 +144,7 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
+        self.parts: dict[str, bytes] = {}
 
     def stream(self, marked: str, chunk: int = 1 << 16) -> bytes:
         search = StreamingViterbi(self.pieces)
@@ -142,22 +152,46 @@ class Encoder(dict):
         return b"".join(parts) + _packed(search.finish())
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.stream(SPACE + word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
+        marked = SPACE + word.replace(" ", SPACE)
+        if len(word) > MEMO_CHARS:
+            return self.stream(marked)
+        inside, cuts = self.pieces.inside, [0]
+        cuts += [i for i in range(1, len(marked)) if marked[i - 1 : i + 1] not in inside]
+        ids = b"".join(map(self._part, map(marked.__getitem__, map(slice, cuts, [*cuts[1:], len(marked)]))))
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        """A part of a word that ends where all paths meet; it is one window."""
+        ids = self.parts.get(part)
+        if ids is None:
+            search = StreamingViterbi(self.pieces)
+            search._extend(part)
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            ids = self.parts[part] = _packed(search.finish())
         return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text``, with a space before its first character."""
         if not text:
             return b""
-        if self.pieces.inner_space or SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        if self.pieces.inner_space:
             return self.stream(SPACE + text.replace(" ", SPACE))
+        text = text.replace(SPACE, " ")
+        if "  " in text or text[0] == " " or text[-1] == " ":  # a run of spaces goes with the word behind it
+            return b"".join(self[part[1:]] for part in RUNS.findall(" " + text))
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a worker process, whose memo lasts from task to task."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids, ids_crc32`` for every row of ``docs``; ``ids`` is an array of piece ids.
 
@@ -167,7 +201,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = _encoder(model)
         for batch in batches:
             found = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
             ends = np.cumsum([0] + [len(f) // 4 for f in found])
@@ -187,7 +221,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Pieces(model).raw
+        raw = _encoder(model).pieces.raw
         for batch in batches:
             texts = []
             for ids in batch.column(0):
