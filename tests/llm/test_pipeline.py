@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tests.llm import test_packing, test_repeats, test_simhash
+from tests.llm import test_nearcopies, test_packing, test_repeats
 from tests.llm.helpers import DOCUMENTS, awkward, words
 from wardline.llm import langid, queries
 from wardline.queries.harness import compare, duck
@@ -44,9 +44,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     want = [(i, t) for i, t in pairs["language"] if least.get(t or "", i) == i]
     assert sorted(pairs["exact_copies"], key=repr) == sorted(want, key=repr)
 
-    fps = [(i, test_simhash.brute_fingerprint(t, 5)) for i, t in pairs["exact_copies"]]
-    stay = {i for i, _, component in test_simhash.brute_components(fps) if i is None or i == component}
-    assert sorted(pairs["near_copies"], key=repr) == sorted((p for p in pairs["exact_copies"] if p[0] in stay), key=repr)
+    assert sorted(pairs["near_copies"], key=repr) == sorted(test_nearcopies.brute_stay(pairs["exact_copies"]), key=repr)
 
     removed = {r[0]: r[1] - r[2] for r in test_repeats.brute(pairs["near_copies"], 400)}
     assert len(pairs["repeated_passages"]) == len(pairs["near_copies"])
@@ -60,6 +58,18 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     )
 
 
+def test_only_what_a_result_reads_stays_on_disk(spark, folder, monkeypatch, tmp_path):
+    from wardline.llm import common
+
+    monkeypatch.setattr(common, "scratch_path", lambda _, name: str(tmp_path / "scratch" / name))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in pipeline.STAGES[:4]:
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = sorted(p.rsplit("-", 1)[0] for p in os.listdir(tmp_path / "scratch"))
+    assert left == ["intervals", "near-gone"]
+
+
 def test_short_passages_are_taken_out(spark):
     import random
 

@@ -301,13 +301,13 @@ def _listed(ids_and_texts: DataFrame, doc_id: str, text: str, length: int, words
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, text`` for every row of ``docs``.
 
     A byte of a text's UTF-8 form is removed if a string of ``length`` bytes that covers it also starts anywhere else in
     any text, the same one included.  Strings never cross texts and are judged on the input.
 
     Null and empty texts, and texts shorter than ``length``, lose nothing.  A row that repeats both id and text is one
-    more place for every string in it.  Ids may be null; a row is known by a 64-bit hash of id and text.  Identifiers of
+    more place for every string in it.  ``text`` is what is left, without characters of which only some bytes are left.  Ids may be null; a row is known by a 64-bit hash of id and text.  Identifiers of
     strings have 128 bits together and are not followed by a comparison of bytes.  Other columns are ignored.
     """
 
@@ -317,17 +317,17 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             for text, cut in zip(batch.column(1), batch.column(2)):
                 data = text.as_py()
                 kept, removed, runs = _cut(data, cut.as_py(), length)
-                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
-            n, removed, runs, sha = map(list, zip(*out)) if out else ([],) * 4
+                out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+            n, removed, runs, sha, left = map(list, zip(*out)) if out else ([],) * 5
             numbers = [pa.array(x, pa.int64()) for x in (n, removed, runs)]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(sha, pa.string())], names)
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(sha, pa.string()), pa.array(left, pa.string())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
     marked = rows.join(_interval_lists(rows, length), F.xxhash64("doc_id", "text") == F.col("cut_key"), "left")
     return marked.select("doc_id", text_or_empty().cast("binary").alias("text"), "cut").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     )
 
 
