@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
@@ -222,11 +223,18 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = _encoder(model).pieces.raw
+        unknown = max(raw, default=-1) + 1
+        known = pa.array([raw.get(i, b"") for i in range(unknown + 1)], pa.large_binary())
         for batch in batches:
-            texts = []
-            for ids in batch.column(0):
-                data = b"".join(map(lambda i: raw.get(i, b""), ids.values.to_pylist() if ids.is_valid else ()))
-                texts.append(data.removeprefix(b" ").decode(errors="replace"))
+            ids = batch.column(0).fill_null([])
+            which = ids.flatten().fill_null(unknown).to_numpy()
+            taken = known.take(pa.array(np.where((which < 0) | (which > unknown), unknown, which)))
+            # the taken pieces stand side by side in one buffer
+            data, starts = taken.buffers()[2], np.frombuffer(taken.buffers()[1], np.int64)
+            sizes = pc.list_value_length(ids).to_numpy()
+            edges = starts[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+            whole = memoryview(data) if data is not None else b""
+            texts = [bytes(whole[a:b]).removeprefix(b" ").decode(errors="replace") for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], ["text", *batch.schema.names[1:]])
 
     others = [c for c in encoded.columns if c != "ids"]
