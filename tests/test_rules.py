@@ -1,6 +1,7 @@
 """Rule fixtures: positive and negative cases of the six shipped rules."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,24 +120,46 @@ def test_order_and_partitioning_do_not_matter(spark):
     assert found(D.auth_burst(ev)) == found(D.auth_burst(other)) != set()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [
-        {"session_id": f"s{i % 9}", "status_id": 1, "src_endpoint_ip": f"ip{i % 4 if i % 9 < 5 else 0}", "time": T0 + i * 40 * SEC} for i in range(300)
-    ]
-    ev = events(spark, rows)
-    ev.repartitionByRange(5, "time").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+def streamed(spark, folder, rows, order, delay):
+    """Detections of a stream over five files of consecutive times that arrive in the given order."""
+    size = -(-len(rows) // 5)
+    for nth, k in enumerate(order):
+        ev = events(spark, rows).filter(F.col("event_id").between(k * size, k * size + size - 1))
+        ev.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        for file in os.listdir(f"{folder}/in"):  # the source goes by modification times, here a second apart
+            path = f"{folder}/in/{file}"
+            if os.stat(path).st_mtime > 10**9 + 1000:
+                os.utime(path, (10**9 + nth, 10**9 + nth))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
     def emit(df, batch_id):
-        df.write.mode("overwrite").parquet(str(tmp_path / f"out/b={batch_id}"))
+        df.write.mode("overwrite").parquet(f"{folder}/out/b={batch_id}")
+
+    W.stream_detections(catalog.TOKEN_REPLAYED, stream, emit, f"{folder}/ck", delay=delay).awaitTermination()
+    return {(str(r.window_start), r.entity, r.observed) for r in spark.read.parquet(f"{folder}/out").collect()}
+
+
+REPLAYS = [
+    {"session_id": f"s{i % 9}", "status_id": 1, "src_endpoint_ip": f"ip{i % 4 if i % 9 < 5 else 0}", "time": T0 + i * 40 * SEC} for i in range(300)
+]
 
-    q = W.stream_detections(catalog.TOKEN_REPLAYED, stream, emit, str(tmp_path / "ck"), delay="3 hours")
-    q.awaitTermination()
-    got = {(str(r.window_start), r.entity, r.observed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    batch = W.windowed_detections(catalog.TOKEN_REPLAYED, ev)
+
+def test_stream_equals_batch(spark, tmp_path):
+    got = streamed(spark, tmp_path, REPLAYS, range(5), "3 hours")
+    batch = W.windowed_detections(catalog.TOKEN_REPLAYED, events(spark, REPLAYS))
     last = batch.agg(F.max("window_start")).first()[0]
     want = {(str(r.window_start), r.entity, r.observed) for r in batch.collect()}
     assert got and got <= want
     # what the stream has not emitted yet lies inside the watermark delay
     held = [datetime.datetime.fromisoformat(w[0]) for w in want - got]
     assert all((last - at).total_seconds() <= 3 * 3600 + 900 for at in held)
+
+
+def test_late_files_are_dropped_beyond_the_delay(spark, tmp_path):
+    want = {(str(r.window_start), r.entity, r.observed) for r in W.windowed_detections(catalog.TOKEN_REPLAYED, events(spark, REPLAYS)).collect()}
+    waited = streamed(spark, tmp_path / "a", REPLAYS, (1, 0, 2, 3, 4), "2 hours")
+    hasty = streamed(spark, tmp_path / "b", REPLAYS, (4, 0, 1, 2, 3), "1 minute")
+    assert waited and waited <= want
+    # the watermark of a micro-batch holds from the second one after it, so only the files between came too late
+    windows = {w for w, _, _ in hasty}
+    assert not {w for w in windows if "2023-11-14 23:00:00" <= w <= "2023-11-15 00:30:00"} and min(windows) < "2023-11-14 23"

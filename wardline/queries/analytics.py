@@ -14,6 +14,7 @@ from ..plans import catalog
 from ..session import scratch_path, settle
 from ..sources import feed as FEEDS
 from ..streaming import folds
+from ..streaming import novelty as V
 from ..streaming import windows as W
 from .console import BOARD, FEED, K_LIST, NOW_MS, board, feed
 from .detection import HIST, SEEN
@@ -61,6 +62,56 @@ def streamed_rule(spark, d):
     return out.select(F.unix_seconds("window_start").alias("window_start"), "predicate", "entity", "observed")
 
 
+SIGHTS = f"""{AUTH},
+  obs as (select actor_user_uid as entity, cloud_asn as value, time, event_id from auth where status_id = 1 and cloud_asn is not null and actor_user_uid is not null),
+  told as (select *, row_number() over (partition by entity order by time, event_id) - 1 as before,
+      time - lag(time) over (partition by entity, value order by time, event_id) as gap from obs)"""
+DAY_NS = 86_400_000_000_000
+
+
+def _sights(spark, d):
+    """The baseline of the first days and the observations after it."""
+    rule = catalog.AUTH_NEW_ASN
+    observed = V.timed_observations(auth_events(spark, d), rule)
+    return rule.novelty[0].threshold, V.remembered(observed.filter(F.col("time") < SPLIT_NS)), observed.filter(F.col("time") >= SPLIT_NS)
+
+
+@query("d11_first_sights", f"with {SIGHTS} select entity, value, time, event_id from told where gap is null and before >= 3 and time >= {SPLIT_NS}")
+def first_sights(spark, d):
+    """Novelty against a baseline that grows with the events."""
+    threshold, prior, observed = _sights(spark, d)
+    return V.first_sights(observed, threshold, prior).drop("attribute")
+
+
+@query(
+    "d11_first_sights_expiring",
+    f"with {SIGHTS} select entity, value, time, event_id from told where (gap is null or gap > {2 * DAY_NS}) and before >= 3 and time >= {SPLIT_NS}",
+)
+def first_sights_expiring(spark, d):
+    """As above; a value that was not seen for two days is new again."""
+    threshold, prior, observed = _sights(spark, d)
+    return V.first_sights(observed, threshold, prior, 2 * DAY_NS).drop("attribute")
+
+
+@query("j01_streamed_novelty", f"with {SIGHTS} select entity, value, time, event_id from told where gap is null and before >= 3 and time >= {SPLIT_NS}")
+def streamed_novelty(spark, d):
+    """The same as a stream that is stopped and started again: three spans of time arrive one after another."""
+    root = scratch_path(spark, f"sights-{uuid.uuid4().hex}")
+    threshold, prior, observed = _sights(spark, d)
+
+    def emit(df, batch_id):
+        df.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    for part in range(3):
+        edges = [SPLIT_NS + k * 5 * DAY_NS for k in range(3)]
+        inside = F.col("time") >= edges[part]
+        inside = inside & (F.col("time") < edges[part + 1]) if part < 2 else inside
+        observed.filter(inside).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(observed.schema).parquet(f"{root}/in")
+        V.stream_first_sights(stream, emit, f"{root}/state", threshold, prior).awaitTermination()
+    return spark.read.schema(V.SIGHT + ", batch int").parquet(f"{root}/out").drop("attribute", "batch")
+
+
 @query("a11_case_feed", f"with {FEED} select id, risk_score from folded")
 def case_feed(spark, d):
     """Feed messages written as JSON lines, streamed back and folded into the case table."""

@@ -50,13 +50,16 @@ def stream_detections(
 
     The state holds mergeable aggregates per (window, keys), not events.  A window leaves the state when
     the watermark passes it, for all its keys at once, so coarser sources are rolled up and joined
-    inside the micro-batch.  Events later than ``delay`` are dropped.
+    inside the micro-batch.  Events later than ``delay`` are dropped; a file source takes files by modification time, so files of late times come late.
     """
     timed = with_event_time(events) if "event_ts" not in events.columns else events
     partial = _windowed(rule, timed.withWatermark("event_ts", delay), window or rule.window)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        emit(_close(rule, batch, baseline), batch_id)
+        # a rule reads the closed windows once for each source: they are computed once and written, over those before
+        batch.write.mode("overwrite").parquet(f"{checkpoint}/closed")
+        closed = batch.sparkSession.read.schema(batch.schema).parquet(f"{checkpoint}/closed")
+        emit(_close(rule, closed, baseline), batch_id)
 
     writer = partial.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
