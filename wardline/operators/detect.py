@@ -11,7 +11,8 @@ from ..functions.hashing import content_json
 from ..functions.scalar import render_key
 from ..plans import catalog
 from ..plans.digest import set_digest
-from ..plans.rules import Rule, evaluate
+from ..plans.rules import Rule, detections_from, evaluate, judge_frame
+from ..plans.ruleset import correlate_all, union_all
 
 
 def observations(history: DataFrame, entity: str, attributes: Mapping[str, str]) -> DataFrame:
@@ -113,28 +114,29 @@ def expectations(results: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def _baseline(rule: Rule, history: DataFrame | None) -> tuple[DataFrame, DataFrame] | None:
+    return warm_up(history, rule.entity, rule.observations) if rule.novelty and history is not None else None
+
+
 def detections_of(rules: Iterable[Rule], events: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Union of several rules over the same events; rules with novelty take their baseline from ``history``."""
-    out = None
-    for rule in rules:
-        base = warm_up(history, rule.entity, rule.observations) if rule.novelty else None
-        rows = claim_keys(evaluate(rule, events, base))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Claims of several rules over the same events, read once for each set of keys; novelty is judged by ``history``."""
+    found = correlate_all(rules, events)
+    return union_all(claim_keys(detections_from(rule, judge_frame(rule, cases, _baseline(rule, history)))) for rule, cases, _ in found)
 
 
 def fp_rate(rules: Iterable[Rule], benign: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """Claims per rule on events known to be benign, over the rule's number of cases."""
-    rows = []
-    for rule in rules:
-        base = warm_up(history if history is not None else benign, rule.entity, rule.observations) if rule.novelty else None
-        fired = evaluate(rule, benign, base).agg(F.count(F.lit(1)).alias("claims"))
-        total = benign.select(*rule.union_keys()).dropna().distinct().agg(F.count(F.lit(1)).alias("cases"))
-        rows.append(fired.crossJoin(total).select(F.lit(rule.id).alias("rule_id"), "claims", "cases"))  # 1 row x 1 row
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("fp_rate", F.try_divide(F.col("claims").cast("double"), F.col("cases")))
+    """Claims per rule on events known to be benign, over the rule's number of cases.
+
+    The events are read once for each set of keys.  Without a ``history``, the events themselves are the baseline.
+    """
+    sides = []
+    for rule, cases, shared in correlate_all(rules, benign):
+        fired = detections_from(rule, judge_frame(rule, cases, _baseline(rule, benign if history is None else history)))
+        known = shared.select(*rule.union_keys()).dropna().distinct()
+        for rows, name in ((fired, "claims"), (known, "cases")):
+            sides.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule.id).alias("rule_id"), F.lit(name).alias("side"), "n"))
+    counted = union_all(sides).groupBy("rule_id").pivot("side", ["claims", "cases"]).agg(F.first("n"))
+    return counted.withColumn("fp_rate", F.try_divide(F.col("claims").cast("double"), F.col("cases")))
 
 
 def auth_burst(events: DataFrame) -> DataFrame:

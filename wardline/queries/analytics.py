@@ -114,12 +114,14 @@ def streamed_novelty(spark, d):
 
 @query("a11_case_feed", f"with {FEED} select id, risk_score from folded")
 def case_feed(spark, d):
-    """Feed messages written as JSON lines, streamed back and folded into the case table."""
+    """Feed messages written as JSON lines in three parts, each streamed back and folded before the next one comes."""
     root = scratch_path(spark, f"feed-{uuid.uuid4().hex}")
-    feed(spark, d).write.json(f"{root}/in")
-    stream = FEEDS.read_case_feed(spark, f"{root}/in")
     initial = board(spark, d).select("id", "risk_score")
-    folds.fold_feed(stream, initial.columns, f"{root}/out", f"{root}/state").awaitTermination()
+    messages = feed(spark, d)
+    for part in range(3):
+        messages.filter(F.pmod("seq", F.lit(3)) == part).write.mode("append").json(f"{root}/in")
+        stream = FEEDS.read_case_feed(spark, f"{root}/in")
+        folds.fold_feed(stream, initial.columns, f"{root}/out", f"{root}/state", fanout=2).awaitTermination()
     return folds.current_cases(spark, f"{root}/out", initial)
 
 

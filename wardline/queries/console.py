@@ -127,20 +127,22 @@ def improvement_flag(spark, d):
 
 
 FEED = f"""{BOARD},
-  feed as (select l_orderkey * 10 + l_linenumber as seq, case when l_linenumber % 3 = 0 then 'fire' else 'update' end as kind, 'case-' || l_orderkey as id, (l_partkey % 10001)::int as risk_score
+  feed as (select l_orderkey * 10 + l_linenumber as seq, case when l_linenumber % 3 = 0 then 'fire' when l_linenumber = 5 then 'new' else 'update' end as kind,
+      case when l_linenumber in (5, 7) then 'made-' else 'case-' end || l_orderkey as id, (l_partkey % 10001)::int as risk_score
     from lineitem),
   folded as (select id, max_by(risk_score, seq) as risk_score from (select id, -1 as seq, risk_score from board union all
-      select f.id, max(f.seq), max_by(f.risk_score, (f.seq, f.risk_score)) from feed f where kind = 'update' group by f.id) group by id)"""
+      select f.id, max(f.seq), max_by(f.risk_score, (f.seq, f.risk_score)) from feed f where kind <> 'fire' group by f.id) group by id)"""
 
 
 def feed(spark, d):
-    """One message per line item and line number: every third is a fire, the rest are case updates."""
+    """One message per line item and line number: every third is a fire, the fifth makes a case that the seventh changes,
+    the rest are updates of known cases."""
     li = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "cast(l_partkey % 10001 as int) as risk_score")
     li = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("risk_score").alias("risk_score"))
     return li.selectExpr(
         "l_orderkey * 10 + l_linenumber as seq",
-        "if(l_linenumber % 3 = 0, 'fire', 'update') as kind",
-        "named_struct('id', concat('case-', l_orderkey), 'risk_score', risk_score) as case",
+        "case when l_linenumber % 3 = 0 then 'fire' when l_linenumber = 5 then 'new' else 'update' end as kind",
+        "named_struct('id', concat(if(l_linenumber in (5, 7), 'made-', 'case-'), l_orderkey), 'risk_score', risk_score) as case",
     )
 
 

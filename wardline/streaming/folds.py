@@ -8,28 +8,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.console import fold_cases, trailing_rate
 from ..operators.identity import dedup_evidence_stream
+from .changelog import ChangeLog
 
 
-def fold_feed(feed: DataFrame, columns: list[str], path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Log the latest version of every case that a micro-batch touched, one folder per micro-batch.
+def fold_feed(feed: DataFrame, columns: list[str], path: str, checkpoint: str, fanout: int = 8, **trigger) -> StreamingQuery:
+    """Log the latest version of every case that a micro-batch made or changed, in a :class:`~.changelog.ChangeLog`.
 
-    A micro-batch writes only what it changed, however large the case table is, and a repeated one
-    overwrites its own folder, so restarts do not change the result.
+    A micro-batch writes what it changed, however large the case table is, and now and then merges what earlier ones wrote;
+    a repeated one changes nothing, so restarts do not change the result.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         news = batch.filter(F.col("kind").isin("new", "update"))
         row = F.struct(*[F.col(f"case.{c}").alias(c) for c in columns])
-        latest = news.groupBy(F.col("case.id").alias("id")).agg(F.max_by(row, "seq").alias("case"), F.max("seq").alias("seq"))
-        latest.withColumn("kind", F.lit("update")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = news.select(F.col("case.id").alias("id"), row.alias("case"), "seq", F.lit("update").alias("kind"))
+        log = ChangeLog(batch.sparkSession, path, "id", "seq", fanout)
+        log.append(rows, batch_id)
+        log.clean()
 
     writer = feed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_batch)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def current_cases(spark: SparkSession, path: str, initial: DataFrame) -> DataFrame:
-    """The case table as of all logged micro-batches."""
-    return fold_cases(initial, spark.read.parquet(path))
+    """The case table as of the last whole version of the log."""
+    logged = ChangeLog(spark, path, "id", "seq").read()
+    return initial if logged is None else fold_cases(initial, logged)
 
 
 def rate_per_window(fires: DataFrame, delay: str = "10 seconds") -> DataFrame:
