@@ -116,3 +116,21 @@ def test_times_out_of_range_are_rejected(spark):
     good, bad = E.normalize(lines(spark, *({"userId": "u", "createdDateTime": s} for s in stamps)), E.SIGN_IN)
     assert [r.reason for r in bad.collect()] == ["bad_timestamp"] * 2
     assert good.count() == 2
+
+
+def test_rest_of_a_partly_mapped_object_is_kept(spark):
+    import dataclasses
+
+    by_path = dataclasses.replace(E.CLOUD_AUDIT, unmapped_paths=True)
+
+    def unmapped(obj, mapping=by_path):
+        return json.loads(E.normalize(lines(spark, obj), mapping)[0].first().payload).get("unmapped")
+
+    assert unmapped(CLOUD) == {"responseElements": {"ConsoleLogin": "Success", "n": [1, None, True]}, "userIdentity": {"type": "IAMUser"}}
+    assert unmapped({"userIdentity": {"arn": "a"}}) is None and unmapped({"eventName": "x"}) is None
+    assert unmapped({"userIdentity": "a \"plain\" text}", "a b": {}}) == {"userIdentity": 'a "plain" text}', "a b": {}}
+    assert unmapped({"userIdentity": {"arn": None, "x": {"arn": 1}}, "eventName": None}) == {"userIdentity": {"x": {"arn": 1}}}
+    assert unmapped({"userIdentity": None, "q": "}"}) == {"userIdentity": None, "q": "}"}
+    deep = dataclasses.replace(by_path, fields={"u": E.FieldMap("a.b.c"), "v": E.FieldMap("a.b.d"), "w": E.FieldMap("e"), "x": E.FieldMap("e.f")})
+    assert unmapped({"a": {"b": {"c": "1", "z": 2}, "y": [3]}, "e": "4"}, deep) == {"a": {"b": {"z": 2}, "y": [3]}}
+    assert unmapped({"a": {"b": {"c": "1", "d": "2"}}, "g": 5}, deep) == {"g": 5}

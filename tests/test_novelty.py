@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from wardline.streaming import folds
 from wardline.streaming import novelty as V
 
 SCHEMA = V.SIGHT
@@ -79,3 +80,14 @@ def test_second_sight_on_a_stream_is_silent(spark, tmp_path, ttl):
     V.stream_first_sights(stream, emit, f"{tmp_path}/state", 3, known, ttl).awaitTermination()
     got = sorted(map(tuple, spark.read.schema(SCHEMA).parquet(f"{tmp_path}/out").select("entity", "attribute", "value", "time", "event_id").collect()))
     assert got == brute(rows + again, 3, PRIOR, ttl)
+
+
+def test_evidence_is_stored_once_for_ever(spark, tmp_path):
+    schema = "evidence_id string, at bigint"
+    for start in (0, 20, 5, 10**15):  # ids of any earlier run come again, however far the time has moved
+        rows = [(f"e{i % 40}", start + i) for i in range(start % 1000, start % 1000 + 30)] * 2
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        folds.store_evidence(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    ids = [r["evidence_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(ids) == sorted({f"e{i}" for i in range(40)})

@@ -101,17 +101,21 @@ TILES = f"""{BOARD},
   fig as (select tile, unit, good,
       case tile when 'open-cases' then count(*) when 'drift-alerts' then count_if(age < 12) else avg(m) filter (age < 12) end as value,
       case tile when 'open-cases' then count_if(age >= 12) when 'drift-alerts' then count_if(age between 12 and 23) else avg(m) filter (age between 12 and 23) end as baseline,
-      case tile when 'open-cases' then count_if(age >= 3) when 'drift-alerts' then count_if(age = 3) else avg(m) filter (age = 3) end as point_3
+      {", ".join(f"case tile when 'open-cases' then count_if(age >= {a}) when 'drift-alerts' then count_if(age = {a}) else avg(m) filter (age = {a}) end::double as p{a}" for a in range(12))}
     from aged group by tile, unit, good)"""
 
 
 @query(
     "i04_stat_tiles",
-    f"with {TILES} select tile, unit, round(value::double, 6) as value, round((value - baseline)::double, 6) as delta, round(point_3::double, 6) as trend_point from fig where value is not null",
+    f"""with {TILES}, told as (select tile, unit, round(value::double, 6) as value, round((value - baseline)::double, 6) as delta,
+          unnest([{", ".join(f"p{a}" for a in reversed(range(12)))}]) as y, unnest(range(12)) as point from fig where value is not null)
+        select tile, unit, value, delta, point::int as point, round(y, 6) as trend_point from told""",
 )
 def stat_tiles(spark, d):
+    """Every tile with its twelve trend points, oldest first."""
     out = C.stat_tiles(board(spark, d), _moves(spark, d), NOW_MS)
-    return out.select("tile", "unit", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"), F.round(F.col("trend")[8], 6).alias("trend_point"))
+    told = out.select("tile", "unit", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"), F.posexplode("trend").alias("point", "y"))
+    return told.withColumn("trend_point", F.round("y", 6)).drop("y")
 
 
 def _moves(spark, d):

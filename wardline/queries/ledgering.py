@@ -14,6 +14,7 @@ from ..operators import merkle as M
 from ..operators import detect as D
 from ..session import scratch_path
 from ..sources import events as E
+from ..streaming import folds
 from .registry import query
 from .views import AUTH, EVIDENCE, RAW, auth_events, nanos, raw_lines, stored_events, table
 
@@ -82,6 +83,18 @@ def unmapped_passthrough(spark, d):
     return good.select("line_no", F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.unmapped", "variant")).alias("unmapped"))
 
 
+@query(
+    "a04_path_passthrough",
+    f"""with {NORMAL} select line_no, '{{"extra":{{"k":' || k || '}},"kind":"' || event_type || '","status":{{"note":"n' || (user_id % 3) || '"}}}}' as unmapped from good""",
+)
+def path_passthrough(spark, d):
+    """``status.errorCode`` is mapped; what else ``status`` has is kept."""
+    import dataclasses
+
+    good = E.normalize(raw_lines(spark, d), dataclasses.replace(SIGN_IN, unmapped_paths=True))[0]
+    return good.select("line_no", F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.unmapped", "variant")).alias("unmapped"))
+
+
 @query(
     "a05_envelope",
     f"with {NORMAL} select line_no, '1.0.0' as schema_version, '2' as mapping_version, 'signin' as source_id, true as new_identity from good",
@@ -199,15 +212,18 @@ def inclusion_proofs(spark, d):
 
 @query(
     "c06_verify_inclusion",
-    f"with {AUTH}, {EVIDENCE} select evidence_id, k % 11 <> 0 as valid from stored",
+    f"with {AUTH}, {EVIDENCE} select evidence_id, k % 11 <> 0 as valid, k % 13 = 0 as redacted, k % 13 = 0 as removed from stored",
 )
 def verify_inclusion(spark, d):
-    """Every eleventh id is altered after proving; exactly those fail."""
+    """Every eleventh id is altered after proving; exactly those fail.  Evidence whose payload was redacted still verifies."""
     proofs = M.prove(_daily(spark, d))
     known = stored_events(spark, d).select("evidence_id", "k")
     mixed = proofs.join(known, "evidence_id").withColumnRenamed("evidence_id", "_id")
     mixed = mixed.withColumn("evidence_id", F.when(F.col("k") % 11 == 0, F.concat("_id", F.lit("!"))).otherwise(F.col("_id")))
-    return M.verify_inclusion(mixed).select(F.col("_id").alias("evidence_id"), "valid")
+    checked = M.verify_inclusion(mixed).select(F.col("_id").alias("evidence_id"), "valid")
+    store = stored_events(spark, d).select("evidence_id", F.col("event_id").cast("string").alias("payload"), F.lit(False).alias("redacted"))
+    after = L.redact(store, known.filter("k % 13 = 0"))[0]
+    return checked.join(after, "evidence_id").select("evidence_id", "valid", "redacted", F.col("payload").isNull().alias("removed"))
 
 
 ZERO = "repeat('00', 32)"
@@ -280,6 +296,18 @@ def evidence_dedup(spark, d):
     return I.dedup_evidence(documents(spark, d).select("evidence_id"))
 
 
+@query("b08_stored_once", f"with {DOCS} select distinct evidence_id from docs")
+def stored_once(spark, d):
+    """A stream that brings all evidence twice, in runs of its own, and stores every id once."""
+    root = scratch_path(spark, f"evidence-{uuid.uuid4().hex}")
+    rows = documents(spark, d).select("evidence_id")
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        folds.store_evidence(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("evidence_id")
+
+
 @query("b08_distinct_count", f"with {DOCS} select count(distinct evidence_id)::bigint as distinct_ids from docs")
 def distinct_count(spark, d):
     return I.distinct_evidence(documents(spark, d))

@@ -21,13 +21,18 @@ class FieldMap:
 
 @dataclass(frozen=True)
 class Mapping:
-    """Source fields to target fields, both dotted.  The versions are part of every event's identity."""
+    """Source fields to target fields, both dotted.  The versions are part of every event's identity.
+
+    ``unmapped_passthrough`` keeps what the fields do not consume: whole top-level fields, or with ``unmapped_paths`` also
+    the rest of an object of which only some paths are mapped.
+    """
 
     source_id: str
     mapping_version: str
     schema_version: str
     fields: MappingType[str, FieldMap]
     unmapped_passthrough: bool = True
+    unmapped_paths: bool = False
 
 
 # The shipped mappings.
@@ -132,12 +137,47 @@ def _nest(fields: list[tuple[list[str], str]]) -> Column:
     return F.when(some, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
 
 
+def _trie(paths: list[str]) -> dict:
+    """Dotted paths as nested dictionaries; a path that is mapped itself is an empty one, whatever is mapped below it."""
+    root: dict = {}
+    for path in sorted(paths, key=lambda p: p.count(".")):
+        node, segs = root, path.split(".")
+        for seg in segs[:-1]:
+            node = node.setdefault(seg, {None: True})
+            if None not in node:  # a shorter path takes the whole value
+                break
+        else:
+            node[segs[-1]] = {}
+    return root
+
+
+def _rest(value: Column, mapped: dict) -> Column:
+    """JSON text of an object without the mapped paths; NULL if nothing is left or the value is no object.
+
+    An object with mapped paths below it goes on as what is left of it; any other value in its place was not consumed.
+    """
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    names = [name for name in mapped if name is not None]
+    plain = F.map_filter(fields, lambda k, v: ~k.isin(*names)) if names else fields
+    parts = [F.nullif(F.substring(F.to_json(plain), 2, 1 << 30), F.lit("}"))]
+    for name in names:
+        if mapped[name]:
+            inner = F.try_element_at(fields, F.lit(name))
+            whole = F.when(~_kind(inner).startswith("OBJECT"), F.to_json(inner))
+            left = F.coalesce(_rest(inner, mapped[name]), whole)
+            parts.append(F.concat(F.to_json(F.lit(name).cast("variant")), F.lit(":"), left, F.lit("}")))
+    # each part ends with a brace that closes nothing yet
+    joined = F.concat_ws(",", *[F.regexp_replace(part, r"\}$", "") for part in parts])
+    return F.when(joined != "", F.concat(F.lit("{"), joined, F.lit("}")))
+
+
 def normalize(lines: DataFrame, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
     """(good, rejected) for lines with ``text``; other columns are kept.
 
     ``good.payload`` is the canonical JSON of the normalised event.  ``rejected.reason`` is the first
     problem found.  Unconsumed top-level fields are kept under ``unmapped``; a top-level field counts
-    as consumed when any path below it is mapped and present.
+    as consumed when any path below it is mapped and present.  With ``mapping.unmapped_paths`` only the mapped
+    paths themselves count as consumed.
     """
     df = lines if "event" in lines.columns else parse_lines(lines)
     keep = [c for c in df.columns if c != "event"]
@@ -158,7 +198,10 @@ def normalize(lines: DataFrame, mapping: Mapping) -> tuple[DataFrame, DataFrame]
     for key in ("schema_version", "mapping_version", "source_id"):
         values[f"_{key}"] = F.to_json(F.lit(getattr(mapping, key)).cast("variant"))
         leaves.append(([key], f"_{key}"))
-    if mapping.unmapped_passthrough:
+    if mapping.unmapped_passthrough and mapping.unmapped_paths:
+        values["_unmapped"] = _rest(F.col("event"), _trie([fm.source for _, fm in maps]))
+        leaves.append((["unmapped"], "_unmapped"))
+    elif mapping.unmapped_passthrough:
         tops: dict[str, Column] = {}
         for i, (_, fm) in enumerate(maps):
             top, there = fm.source.split(".")[0], F.col(f"_r{i}").isNotNull()

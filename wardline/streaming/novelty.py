@@ -8,9 +8,10 @@ value is silent.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -24,6 +25,18 @@ KEY = ["entity", "attribute"]
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streaming queries started inside keep their state in RocksDB; a query takes its settings when it starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def timed_observations(events: DataFrame, rule: Rule) -> DataFrame:
     """``entity, attribute, value, time, event_id`` of the events that the rule's sources match."""
     hit = F.lit(False)
@@ -190,10 +203,5 @@ def stream_first_sights(
         FirstSights(threshold, ttl_ns), SIGHT, "Append", "None" if ttl_ns is None else "EventTime", initial
     )
     writer = sights.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(emit)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STORE)  # the query takes its settings when it starts
-    try:
+    with state_on_disk(spark):
         return writer.trigger(**(trigger or {"availableNow": True})).start()
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
