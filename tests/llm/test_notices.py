@@ -94,3 +94,13 @@ def test_awkward_and_no_rows(spark):
     docs = awkward(spark)
     assert notices.scan(docs).count() == docs.count()
     assert notices.scan(nothing(spark)).collect() == []
+
+
+def test_cost_is_linear_in_the_text():
+    import time
+
+    text = ("word mit license and more of the text " * 260_000).encode()  # 10 MB, 260,000 places
+    begun = time.process_time()
+    words, base, _ = notices.scan_text(text, notices.PHRASES, notices.NOTICES, 0.08)
+    assert words == 8 * 260_000 and len(base) == 260_000 and base[-1][0] == words - 7
+    assert time.process_time() - begun < 60

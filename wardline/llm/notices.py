@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,13 +93,14 @@ def scan_text(data: bytes, phrases: Mapping[str, str], notices: Mapping[str, str
     if not words:
         return 0, [], []
     joined = b" " + b" ".join(words) + b" "
-    base, fuzzy = [], []
-    for phrase, label in phrases.items():
-        base += [(joined.count(b" ", 0, at), label) for at in _find_all(joined, f" {phrase} ".encode())]
-    for notice, label in notices.items():
-        for start, end, edits in fuzzy_places(joined, notice, edits_allowed(notice, share)):
-            first = joined.count(b" ", 0, start) - 1
-            fuzzy.append((first, first + joined.count(b" ", start, end), edits, label, 1 - edits / len(notice)))
+    found = [(at, label) for phrase, label in phrases.items() for at in _find_all(joined, f" {phrase} ".encode())]
+    near = [(place, notice, label) for notice, label in notices.items() for place in fuzzy_places(joined, notice, edits_allowed(notice, share))]
+    if not found and not near:
+        return len(words), [], []
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)  # word n stands behind space n
+    base = list(zip(np.searchsorted(spaces, [at for at, _ in found]).tolist(), (label for _, label in found)))
+    starts, ends = (np.searchsorted(spaces, [place[side] for place, _, _ in near]).tolist() for side in (0, 1))
+    fuzzy = [(a - 1, b - 1, place[2], label, 1 - place[2] / len(notice)) for a, b, (place, notice, label) in zip(starts, ends, near)]
     return len(words), base, fuzzy
 
 
