@@ -60,7 +60,7 @@ def test_files_and_selected_ranges(spark, tmp_path):
 def test_reads_are_coalesced(spark):
     rows = [("f", i * 100, 100) for i in range(50)] + [("f", 1_000_000, 10), ("g", 5, 10)]
     index = spark.createDataFrame(rows, "file string, offset long, length long")
-    reads = sorted((r["file"], r["start"], r["stop"], len(r["offsets"])) for r in warc.coalesce_ranges(index).collect())
+    reads = sorted((r["file"], r["start"], r["stop"], len(r["records"])) for r in warc.coalesce_ranges(index).collect())
     assert reads == [("f", 0, 5000, 50), ("f", 1_000_000, 1_000_010, 1), ("g", 5, 15, 1)]
 
 

@@ -124,10 +124,10 @@ def write_archives(records: DataFrame, folder: str, file_bytes: int = 256 << 20,
 
 
 def coalesce_ranges(selected: DataFrame, block_bytes: int = 4 << 20, gap_bytes: int = 64 << 10) -> DataFrame:
-    """``file, start, stop, offsets``: reads that cover the selected index rows.
+    """``file, start, stop, records``: reads that cover the selected index rows.
 
     Rows are sorted by offset inside stretches of ``block_bytes`` of a file; a gap of more than ``gap_bytes`` between
-    selected records starts a new read.  A stretch bounds both the read and its list of offsets.
+    selected records starts a new read.  A stretch bounds both the read and its list of records (offset, length).
     """
     stretch = F.floor(F.col("offset") / F.lit(block_bytes))
     inside = Window.partitionBy("file", "stretch").orderBy("offset")
@@ -138,8 +138,8 @@ def coalesce_ranges(selected: DataFrame, block_bytes: int = 4 << 20, gap_bytes:
     return rows.groupBy("file", "stretch", "read").agg(
         F.min("offset").alias("start"),
         F.max(F.col("offset") + F.col("length")).alias("stop"),
-        F.array_sort(F.collect_list("offset")).alias("offsets"),
-    ).select("file", "start", "stop", "offsets")
+        F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("records"),
+    ).select("file", "start", "stop", "records")
 
 
 def read_records(selected: DataFrame, folder: str, with_payload: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
@@ -155,12 +155,13 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True, ta
         names = [c.split()[0] for c in _RECORD.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
-            for file, start, stop, offsets in zip(*batch.to_pydict().values()):
+            for file, start, stop, places in zip(*batch.to_pydict().values()):
                 with store.open_input_file(f"{root}/{file}") as f:
                     data = memoryview(f.read_at(stop - start, start))
                 rows = []
-                for offset in offsets:
-                    record = zlib.decompressobj(31).decompress(data[offset - start :])
+                for place in places:
+                    at = place["offset"] - start
+                    record = zlib.decompress(data[at : at + place["length"]], 31)
                     headers, payload = parse_record(record)
                     kind, header = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response":
@@ -191,7 +192,7 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True, ta
 def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000) -> DataFrame:
     """Write every row of ``pages`` to WARC files, read the files back, and resolve revisits.
 
-    Returns ``page_id, url, payload_bytes, payload_digest, record_type, refers_to``, all from the records as read; a
+    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to, url``, all from the records as read; a
     revisit's size comes from the response that it refers to.  ``folder`` defaults to a new one under
     ``spark.checkpoint.dir``; any URI that pyarrow opens will do.
 
@@ -206,6 +207,6 @@ def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 1000
     full = full.groupBy(F.col("page_id").alias("o_id"), F.col("payload_digest").alias("o_digest")).agg(F.max("payload_bytes").alias("o_bytes"))
     same = (F.col("refers_to") == F.col("o_id")) & (F.col("payload_digest") == F.col("o_digest"))
     revisits = records.where("record_type = 'revisit'").join(full, same, "left")
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     resolved = revisits.withColumn("payload_bytes", F.col("o_bytes")).select(columns)
     return records.where("record_type = 'response'").select(columns).union(resolved)
