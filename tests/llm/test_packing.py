@@ -72,3 +72,13 @@ def test_search_empties_bins():
 
 def test_no_rows(spark):
     assert packing.pack_documents(nothing(spark), PATH).collect() == []
+
+
+def test_pairs_beyond_the_largest_items_are_tried():
+    import numpy as np
+
+    # the source's two smallest of thirty items fill the other bin's room of 13 together, and no single one fits there
+    lengths = np.array([20 + i for i in range(28)] + [7, 6, 987])
+    bin_of = np.array([0] * 30 + [1])
+    packed = packing.swap_search(lengths, bin_of, 1000)
+    assert np.bincount(packed, weights=lengths).max() <= 1000 and packed[28] == packed[30] or packed[29] == packed[30]

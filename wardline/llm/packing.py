@@ -145,7 +145,11 @@ def swap_search(lengths: np.ndarray, bin_of: np.ndarray, capacity: int, steps: i
     The least filled bin that is not given up gives its items away: a move to the fullest bin with room, an item
     against a smaller one, or two items against a smaller one, always the exchange that leaves the other bin fullest.
     Each makes a fuller bin fuller and the source emptier, so squared fill grows.  A bin from which nothing more can
-    go is given up.  The search ends at the lower bound, when all underfull bins are given up, or after ``steps`` moves.
+    go is given up.  The search ends at the lower bound, when all underfull bins are given up, or after ``steps`` moves:
+    that bounds the work of a group whose lower bound cannot be reached, and leaves every item placed.
+
+    Only sizes decide about an exchange, so one item stands for all of its size and one pair for all of its sum: a bin has
+    at most the square root of twice its capacity different sizes, and all of them are tried.
     """
     bin_of = bin_of.copy()
     n = int(bin_of.max(initial=-1)) + 1
@@ -163,11 +167,13 @@ def swap_search(lengths: np.ndarray, bin_of: np.ndarray, capacity: int, steps: i
         free = capacity - fill[bin_of]  # room of the bin of each item
         other = (bin_of != source) & (free > 0)
         items = np.flatnonzero(other)
-        singles = [((int(i),), int(lengths[i])) for i in own]
-        doubles = [((int(i), int(j)), int(lengths[i] + lengths[j])) for k, i in enumerate(own[:24]) for j in own[k + 1 : 24]]
+        singles = {int(lengths[i]): (int(i),) for i in own}
+        some = [i for k, i in enumerate(own.tolist()) if k < 2 or lengths[own[k - 2]] != lengths[i]]  # up to two of a size
+        doubles = {int(lengths[i] + lengths[j]): (i, j) for k, i in enumerate(some) for j in some[k + 1 :]}
+        offers = [*singles.items(), *sorted(doubles.items(), reverse=True)]
         room = capacity - fill
         room[source] = 0
-        for given, size in singles + doubles:
+        for size, given in offers:
             able = np.flatnonzero(room >= size)
             able = able[fill[able] >= fill[source] - size]
             if len(able):
