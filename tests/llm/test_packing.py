@@ -74,11 +74,14 @@ def test_no_rows(spark):
     assert packing.pack_documents(nothing(spark), PATH).collect() == []
 
 
-def test_pairs_beyond_the_largest_items_are_tried():
+def test_search_never_opens_bins():
     import numpy as np
 
-    # the source's two smallest of thirty items fill the other bin's room of 13 together, and no single one fits there
-    lengths = np.array([20 + i for i in range(28)] + [7, 6, 987])
-    bin_of = np.array([0] * 30 + [1])
-    packed = packing.swap_search(lengths, bin_of, 1000)
-    assert np.bincount(packed, weights=lengths).max() <= 1000 and packed[28] == packed[30] or packed[29] == packed[30]
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 90):
+        for _ in range(8):
+            lengths = rng.integers(1, 60, n)
+            for start in (packing.best_fit(lengths, 100), rng.permutation(n)):
+                packed = packing.swap_search(lengths, start, 100)
+                fill = np.bincount(packed, weights=lengths)
+                assert fill.max() <= 100 and len(fill) <= len(set(start.tolist())) and fill.min() > 0
