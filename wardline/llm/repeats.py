@@ -246,7 +246,8 @@ def _settle(marked: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     with scope():
         with scope():
             marked = put_down(marked, name)
-            heads = marked.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head")
+            # written first: a join of two plain shuffles is one whose crowded keys AQE splits
+            heads = put_down(marked.groupBy("head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("head"), "heads")
             marked = put_down(marked.join(heads, "head", "left_semi").select(*_FIELDS), "shared", kept=True)
         settled, further = _sorted_out(marked)
         wanted = further.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("anchor", "first", "last", "open")).alias("wanted"))
