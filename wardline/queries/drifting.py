@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import adjudicate as A
+from ..operators import claimindex as X
 from ..operators import drift as D
 from ..operators import identity as I
 from ..operators import ledger as L
-from ..session import scratch_path, settle
+from ..session import scratch_path, settle, stored
 from ..sources import bundles as B
 from .policies import KERNEL, sample_policy
 from .registry import query
@@ -134,11 +135,39 @@ def _drifts(spark, d):
     return D.drift_sweep(closed(spark, d), claims(spark, d), sample_policy(spark), CURRENT, indicators(spark, d), CORPUS_VERSION, KERNEL)
 
 
+DRIFT = ["tenant_id", "case_id", "old_severity", "new_severity", "old_disposition", "new_disposition", "old_verdict_hash", "new_verdict_hash"]
+
+
 @query("h06_drift_sweep", f"with {SWEEP} select * from drifts")
 def drift_sweep(spark, d):
-    return _drifts(spark, d).select(
-        "tenant_id", "case_id", "old_severity", "new_severity", "old_disposition", "new_disposition", "old_verdict_hash", "new_verdict_hash"
+    return _drifts(spark, d).select(*DRIFT)
+
+
+@query(
+    "h06_incremental_sweep",
+    f"""with {SWEEP}, delta as (select predicate, value from indicators where position % 20 in (0, 7)
+          union select predicate, 'supplier:' || substr(value, 6) from indicators where position % 20 = 1 and value like 'idle:%'),
+        touched as (select distinct case_id from claims c join delta e on e.predicate = c.predicate and e.value = c.object)
+        select drifts.*, case_id not in (select case_id from touched) as carried from drifts""",
+)
+def incremental_sweep(spark, d):
+    """A twentieth of the entries is new, as many have another weight, and some were taken out of the version before."""
+    now = indicators(spark, d).filter(F.col("corpus_version") == CORPUS_VERSION)
+    kind = F.col("position") % 20
+    gone = (kind == 1) & F.col("value").startswith("idle:")
+    then = (
+        now.filter(kind != 0)
+        .withColumn("weight", F.when(kind == 7, F.col("weight") + 4000).otherwise(F.col("weight")))
+        .withColumn("value", F.when(gone, F.concat(F.lit("supplier:"), F.substring("value", 6, 20))).otherwise(F.col("value")))
+        .withColumn("corpus_version", F.lit("corpus.before"))
     )
+    corpus = now.unionByName(then)
+    done, held = stored(closed(spark, d), "closed"), sample_policy(spark)
+    index = X.ClaimIndex(spark, scratch_path(spark, f"claim-index-{uuid.uuid4().hex}"), buckets=16)
+    index.append(claims(spark, d), 0)
+    before = D.drift_sweep(done, claims(spark, d), held, CURRENT, corpus, "corpus.before", KERNEL)
+    out = X.incremental_sweep(done, index, held, CURRENT, corpus, "corpus.before", CORPUS_VERSION, before, KERNEL)
+    return out.select(*DRIFT, "carried")
 
 
 @query(
