@@ -10,9 +10,11 @@ from ..functions.vocab import RESPONSE_KINDS
 from ..operators import adjudicate as A
 from ..operators import analytics as N
 from ..operators import detect as D
+from ..operators import sketches as K
 from ..plans import catalog
 from ..session import scratch_path, settle
 from ..sources import feed as FEEDS
+from ..sources import history as HISTORY
 from ..streaming import folds
 from ..streaming import novelty as V
 from ..streaming import windows as W
@@ -167,6 +169,41 @@ def approx_distinct(spark, d):
     return approx.join(exact, "event_type").select("event_type", "exact", close.alias("within_tolerance"))
 
 
+def _sketched(spark, d):
+    """(events, path): sketches of every day, per event type and parity of the user, stored."""
+    ev = table(spark, d, "events").withColumn("time", nanos("ts")).withColumn("odd", F.col("user_id") % 2)
+    path = scratch_path(spark, f"sketches-{uuid.uuid4().hex}")
+    K.store_days(K.daily_sketches(ev, ["event_type", "odd"], "value", "user_id"), path)
+    return ev, path
+
+
+@query(
+    "j04_merged_baselines",
+    """with e as (select *, epoch_us(ts) // 86400000000 as day from events), m as (select min(day) as first from e)
+       select event_type, count(*)::bigint as events, count(value)::bigint as n, min(value)::double as lowest, max(value)::double as highest,
+         count(distinct user_id)::bigint as users, true as within_rank_error, true as within_tolerance
+       from e, m where day between first + 3 and first + 16 group by event_type""",
+)
+def merged_baselines(spark, d):
+    """Two weeks of stored days merged to event types, without their events; checked against exact ranks and counts."""
+    ev, path = _sketched(spark, d)
+    first = spark.read.parquet(path).agg(F.min("day")).first()[0]
+    points = [0.5, 0.95, 0.99]
+    merged = K.with_estimates(K.merge_sketches(K.read_days(spark, path, first + 3, first + 16), ["event_type"]), points)
+    day = F.expr("time div 86400000000000L")
+    joined = ev.filter(day.between(first + 3, first + 16)).select("event_type", "value", "user_id").join(F.broadcast(merged), "event_type")  # one row per event type
+    below = [F.count_if(F.col("value") < F.col("percentiles")[i]) / F.count("value") for i in range(3)]
+    upto = [F.count_if(F.col("value") <= F.col("percentiles")[i]) / F.count("value") for i in range(3)]
+    ranks = [(below[i] <= q + 0.01) & (upto[i] >= q - 0.01) for i, q in enumerate(points)]
+    exact = F.count_distinct("user_id")
+    out = joined.groupBy("event_type", "events", "n", "lowest", "highest").agg(
+        exact.alias("users"),
+        (ranks[0] & ranks[1] & ranks[2]).alias("within_rank_error"),
+        (F.abs(F.max("distinct_entities") - exact) <= F.ceil(exact * 0.03)).alias("within_tolerance"),
+    )
+    return out
+
+
 HOW = "((time // 3600000000000 + 72) % 168)"
 
 
@@ -290,6 +327,20 @@ def retro_hunt(spark, d):
     return N.retro_hunt(catalog.TOKEN_REPLAYED, auth_events(spark, d), RETRO_END)
 
 
+@query(
+    "j14_hunt_stored_history",
+    f"""with {AUTH}, x as (select time // 86400000000000 as day, session_id from auth where status_id = 1 and session_id is not null and time < {RETRO_END} and time >= {RETRO_END} - 30 * 86400000000000
+          group by all having count(distinct src_endpoint_ip) >= 2)
+        select day, 'TOKEN_REPLAYED' as predicate, count(*)::bigint as detections from x group by day""",
+)
+def hunt_stored_history(spark, d):
+    """Thirty days out of a history laid out by day."""
+    path = scratch_path(spark, f"history-{uuid.uuid4().hex}")
+    HISTORY.write_history(auth_events(spark, d), path, "session_id")
+    past = HISTORY.read_history(spark, path, RETRO_END - 30 * N.DAY_NS, RETRO_END)
+    return N.retro_hunt(catalog.TOKEN_REPLAYED, past, RETRO_END, 30)
+
+
 @query(
     "j15_flip_measures",
     f"""with {SWEEP}, f as (select v.case_id, c.completed_at_ns, d.case_id is not null as flipped, c.o_orderkey % 3 = 0 as malicious from verdicts v join cases c using (case_id)
