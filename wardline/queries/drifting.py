@@ -15,7 +15,7 @@ from ..session import scratch_path, settle, stored
 from ..sources import bundles as B
 from .policies import KERNEL, sample_policy
 from .registry import query
-from .scoring import BASE, CORPUS, VERDICTS, closed_manifests, verdict_sql
+from .scoring import BASE, CHAINED, CORPUS, VERDICTS, closed_manifests, verdict_sql
 from .views import CORPUS_VERSION, INDICATORS, cases, claims, indicators
 
 CURRENT = "policy.v2"
@@ -246,28 +246,48 @@ def sweep_summary(spark, d):
     return out.select("cases_swept", "drifted", ((F.col("elapsed_seconds") > 0) & rate).alias("measured"))
 
 
-def _exported(spark, d, change=lambda sealed: sealed):
+def _exported(spark, d, before=lambda closed: closed, after=lambda sealed: sealed):
+    """A bundle folder; cases can be changed before they are sealed and after."""
     path = scratch_path(spark, f"bundles-{uuid.uuid4().hex}")
-    sealed = settle(L.chain_manifests(closed_manifests(spark, d)).drop("content_hash", "evidence_count"))
-    B.export_bundles(change(sealed), claims(spark, d), sample_policy(spark), path)
+    sealed = settle(L.chain_manifests(before(closed_manifests(spark, d))).drop("content_hash", "evidence_count"))
+    B.export_bundles(after(sealed), claims(spark, d), sample_policy(spark), path)
     return path
 
 
-@query("a09_export_bundles", f"with {BASE} select case_id, count(*)::bigint as claims from claims group by all")
+@query(
+    "a09_export_bundles",
+    f"""with {CHAINED}, n as (select case_id, count(*) as claims from claims group by all)
+        select case_id, coalesce(n.claims, 0)::bigint as claims, m.evidence_count as proofs, coalesce(n.claims, 0) = m.claim_count as claims_counted, m.epoch_root, m.claim_set_hash,
+          m.verdict_hash, w.hash as manifest_hash, (select count(*) from weights)::bigint as priced
+        from manifests m join walk w using (tenant_id, closed_seq) left join n using (case_id)""",
+)
 def export_bundles(spark, d):
+    """All four tables as they are read back: sealed manifests, claims, a proof for each cited id, the policy's weights."""
     path = _exported(spark, d)
-    return spark.read.schema(B.CLAIM_SCHEMA).json(f"{path}/claims").groupBy("case_id").agg(F.count(F.lit(1)).alias("claims"))
+    held = spark.read.schema(B.CLAIM_SCHEMA).json(f"{path}/claims").groupBy("case_id").agg(F.count(F.lit(1)).alias("claims"))
+    proofs = spark.read.schema(B.PROOF_SCHEMA).json(f"{path}/proofs").groupBy("case_id", F.col("root").alias("epoch_root")).agg(F.count(F.lit(1)).alias("proofs"))
+    priced = spark.read.schema(B.POLICY_SCHEMAS["weights"]).json(f"{path}/policy/weights").agg(F.count(F.lit(1)).alias("priced"))
+    out = spark.read.schema(B.MANIFEST_SCHEMA).json(f"{path}/manifests").join(held, "case_id", "left").join(proofs, ["case_id", "epoch_root"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("claims", "proofs")}).withColumn("claims_counted", F.col("claims") == F.col("claim_count"))
+    fields = ["case_id", "claims", "proofs", "claims_counted", "epoch_root", "claim_set_hash", "verdict_hash", "manifest_hash"]
+    return out.select(*fields).crossJoin(priced)  # priced is one row
 
 
-@query("a10_verify_bundles", f"""with {BASE} select tenant_id, case_id, o_orderkey % 11 not in (3, 4) as manifest_hash_valid, true as verdict_hash_matches,
-    o_orderkey % 11 <> 4 or case_id not in (select case_id from claims where len(evidence) > 0) as evidence_inclusion_valid, o_orderkey % 11 not in (3, 4) as ok from cases""")
+@query("a10_verify_bundles", f"""with {BASE} select tenant_id, case_id, o_orderkey % 11 not in (3, 4) as manifest_hash_valid, o_orderkey % 11 <> 5 as verdict_hash_matches,
+    o_orderkey % 11 <> 4 or case_id not in (select case_id from claims where len(evidence) > 0) as evidence_inclusion_valid, o_orderkey % 11 not in (3, 4, 5) as ok from cases""")
 def verify_bundles(spark, d):
-    """After sealing, some manifests get another confidence and some another evidence root."""
+    """Some cases are sealed with a verdict hash that is not their claims'; their manifests are sound in themselves.
+
+    After sealing, some manifests get another confidence and some another evidence root.
+    """
+    key = F.substring("case_id", 6, 20).cast("bigint") % 11
+
+    def misjudge(closed):
+        return closed.withColumn("verdict_hash", F.when(key == 5, F.repeat(F.lit("cd"), F.lit(32))).otherwise(F.col("verdict_hash")))
 
     def tamper(sealed):
-        key = F.substring("case_id", 6, 20).cast("bigint") % 11
         confidence = F.when(key == 3, F.col("verdict_confidence") + 1).otherwise(F.col("verdict_confidence"))
         root = F.when(key == 4, F.repeat(F.lit("ab"), F.lit(32))).otherwise(F.col("epoch_root"))
         return sealed.withColumn("verdict_confidence", confidence).withColumn("epoch_root", root)
 
-    return B.verify_bundles(spark, _exported(spark, d, tamper)).drop("errors")
+    return B.verify_bundles(spark, _exported(spark, d, misjudge, tamper)).drop("errors")
