@@ -81,3 +81,30 @@ def test_awkward_and_no_rows(spark):
     want = brute_stay([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
     assert nearcopies.drop_near_copies(nothing(spark)).collect() == []
+
+
+def join_rows(plan):
+    """Rows that each join of an executed plan has made."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return join_rows(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return join_rows(plan.plan())
+    own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in name else []
+    below = plan.children()
+    return own + [n for i in range(below.size()) for n in join_rows(below.apply(i))]
+
+
+def test_a_cloud_meets_only_what_can_be_near(spark):
+    """400 sets of one label and 40 of others share 80 of 100 shingles: too few, but enough for one set of just these."""
+    core = list(range(80))
+    own = iter(range(1000, 10**6))
+    cloud = [core + list(range(80, 98)) + [next(own) for _ in range(2)] for _ in range(400)]
+    rest = [core + [next(own) for _ in range(20)] for _ in range(40)] + [core]
+    rows = [(v, -1 if v < 400 else v, s) for v, s in enumerate(cloud + rest)]
+    told = spark.createDataFrame([(v, 7, label) for v, label, _ in rows], "v long, key long, label long")
+    sets = spark.createDataFrame([(v, len(s), 1, s) for v, _, s in rows], "v long, n long, weight long, shingles array<long>")
+    pairs = nearcopies._prefix_pairs(told, sets, 80)
+    assert {tuple(sorted(r)) for r in pairs.collect()} == {(v, 440) for v in range(440)}
+    made = join_rows(pairs._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 440

@@ -116,7 +116,8 @@ def similar_links(keyed: DataFrame, sets: DataFrame, percent: int = 80) -> DataF
     *Prefixes.*  What is left are sets that share a key across labels.  Two of them can only have such shingles in common
     that occur under more than one label, and then share one of their rarest, so many that too few others are left.
     Pairs that share such a one are verified.  The sizes that occur with a shingle bound how many it takes, so texts with
-    too much of their own, and the passages or templates that many texts contain, make no pairs.
+    too much of their own, and the passages or templates that many texts contain, make no pairs.  No join on the way has
+    more rows than there are such pairs, one for each shingle that brings them together.
     """
     labels = sets.select("v", "weight", F.col("v").alias("label"))
     edges = None
@@ -151,13 +152,15 @@ def _prefix_pairs(told: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     posts = ranked.where(F.col("place") <= F.col("n") - _need(F.col("n"), partner, percent) + 1)
     posts = put_down(posts.select("term", "label", "v", "n", "place"), "near-posts")
-    at = posts.groupBy("term", "label").agg(F.count(F.lit(1)).alias("some")).drop("some")
-    low, high = at.withColumnRenamed("label", "low"), at.withColumnRenamed("label", "high")
-    meet = low.join(high, "term").where("low < high")
-    a, b = (posts.select("term", F.col("label").alias(end), *(F.col(c).alias(f"{c}_{x}") for c in ("v", "n", "place"))) for end, x in (("low", "a"), ("high", "b")))
+    # sizes of labels meet by their first places: only where sets can be near do the sets themselves meet
+    first = posts.groupBy("term", "label", "n").agg(F.min("place").alias("place"))
+    low, high = (first.select("term", F.col("label").alias(end), F.col("n").alias(f"n_{x}"), F.col("place").alias(f"first_{x}")) for end, x in (("low", "a"), ("high", "b")))
     need = _need(F.col("n_a"), F.col("n_b"), percent)
+    meet = low.join(high, "term").where("low < high").where((F.col("first_a") <= F.col("n_a") - need + 1) & (F.col("first_b") <= F.col("n_b") - need + 1))
+    a, b = (posts.select("term", F.col("label").alias(end), *(F.col(c).alias(f"{c}_{x}") for c in ("v", "n", "place"))) for end, x in (("low", "a"), ("high", "b")))
     near = (F.col("place_a") <= F.col("n_a") - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1)
-    return meet.join(a, ["term", "low"]).join(b, ["term", "high"]).where(near).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
+    met = meet.join(a, ["term", "low", "n_a"]).join(b, ["term", "high", "n_b"])
+    return met.where(near).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
