@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from tests.llm.helpers import DOCUMENTS, awkward, nothing, words
-from wardline.llm import nearcopies
+from wardline.llm import nearcopies, simhash
 
 
 def brute_set(text, k=5):
@@ -108,3 +110,16 @@ def test_a_cloud_meets_only_what_can_be_near(spark):
     assert {tuple(sorted(r)) for r in pairs.collect()} == {(v, 440) for v in range(440)}
     made = join_rows(pairs._jdf.queryExecution().executedPlan())
     assert made and max(made) <= 440
+
+
+def test_close_fingerprints_link_without_a_shared_key(spark, monkeypatch):
+    """With keys that no two sets share, what is left is the way by SimHash and pivots; it is verified as well."""
+    rng = random.Random(14)
+    text, other = words(rng, 3000, 10**6), words(rng, 300, 10**6)
+    rows = [(1, text), (2, edited(rng, text, 1)), (3, other), (4, edited(rng, other, 60)), (5, words(rng, 300, 10**6))]
+    a, b = (simhash.majority(nearcopies.shingle_set(t.encode(), 5)) for _, t in rows[:2])
+    assert 0 < (a ^ b).bit_count() <= nearcopies.DISTANCE
+    monkeypatch.setattr(nearcopies, "band_keys", lambda hashes: np.arange(32, dtype=np.uint64) + hashes.sum())
+    assert check(spark, rows) == 1
+    monkeypatch.setattr(nearcopies, "majority", lambda hashes: 0)  # every pair looks close
+    assert check(spark, rows[2:]) == 0

@@ -1,7 +1,8 @@
 """Near copies by shingle similarity: texts are linked if the Jaccard similarity of their word shingles reaches a limit.
 
-A 64-bit SimHash cannot tell 0.8 from 0.7: at 0.8 about ten bits differ.  Candidates come from wider signatures here, and
-every link is verified on the sets of shingles themselves.
+SimHash fingerprints of the sets are linked through the pivot tables of ``simhash`` first.  64 bits cannot tell 0.8 from
+0.7: at 0.8 about ten bits differ.  So further candidates come from wider signatures, and every link of either kind is
+verified on the sets of shingles themselves.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql.window import Window
 
 from wardline.llm.common import put_down, scope, text_or_empty
 from wardline.llm.components import connected_components
-from wardline.llm.simhash import SEED, splitmix
+from wardline.llm.simhash import SEED, links, majority, signed, splitmix
 
 #: Keys of a set, and minimums in a key.  Sets of similarity 0.8 share no key with a probability of 3e-6.
 BANDS, ROWS = 32, 5
 
+#: Bits in which SimHash fingerprints may differ to be looked at as a pair.
+DISTANCE = 4
+
 #: Rounds of comparison with one reference a set, before pairs are listed.
 ROUNDS = 2
 
@@ -56,7 +60,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text_hash, v, n, keys`` for every row; ``v`` is a hash of the shingle set, ``n`` its size."""
+    """``doc_id, text_hash, v, fp, n, keys`` for every row; ``v`` is a hash of the shingle set, ``fp`` its SimHash, ``n`` its size."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +70,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
                 values = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                prints = pa.array([signed(majority(s)) for s in sets], pa.int64())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                columns = [batch.column(0), batch.column(1), pa.array(values, pa.int64()), sizes, keys]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "v", "n", "keys"])
+                columns = [batch.column(0), batch.column(1), pa.array(values, pa.int64()), prints, sizes, keys]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "v", "fp", "n", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, v long, n long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, v long, fp long, n long, keys array<long>")
 
 
 def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
@@ -89,6 +94,19 @@ def _shingled(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("v", "n", "weight", "text").mapInArrow(run, "v long, n long, weight long, shingles array<long>")
 
 
+def close_prints(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``a, b``: pairs of the sets of ``distinct`` (``v, fp``) that :func:`simhash.links` links, one for each link.
+
+    Sets of one fingerprint are paired with the smallest of them, which stands for the fingerprint in all other links.
+    """
+    ones = put_down(distinct.groupBy("fp").agg(F.min("v").alias("one")), "near-prints")
+    found = put_down(links(ones.select("fp"), distance), "near-close")
+    low, high = (ones.select(F.col("fp").alias(f"{x}_fp"), F.col("one").alias(x)) for x in ("a", "b"))
+    apart = found.select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(low, "a_fp").join(high, "b_fp").select("a", "b")
+    same = distinct.select("v", "fp").join(ones, "fp").where("v <> one").select(F.col("one").alias("a"), F.col("v").alias("b"))
+    return put_down(apart.union(same), "near-close")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (``a, b``) whose sets' similarity is at least ``percent`` / 100, in whole numbers."""
     a, b = (sets.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in ("a", "b"))
@@ -103,11 +121,13 @@ def _need(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.ceil((n_a + n_b) * percent / (100 + percent))
 
 
-def similar_links(keyed: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """``a, b``: links between distinct sets that connect all pairs of similar ones that share a key.
+def similar_links(keyed: DataFrame, sets: DataFrame, percent: int = 80, close: DataFrame | None = None) -> DataFrame:
+    """``a, b``: links between distinct sets that connect all pairs of similar ones that share a key or stand in ``close``.
+
+    ``keyed`` has ``v, key`` for the keys of more than one set, ``close`` has pairs ``a, b`` of any origin, ``sets`` has
+    ``v, n, weight, shingles`` for the sets of both; a set weighs as much as its keys have members.
 
-    ``keyed`` has ``v, key`` for the keys of more than one set, ``sets`` has ``v, n, weight, shingles`` for the sets that
-    have such a key; a set weighs as much as its keys have members.
+    *Close pairs.*  Those of them that are similar make the first labels.
 
     *References.*  For a few rounds every set is compared with one set of another label that shares a key with it: the
     heaviest, that is the most central, of its neighbours first, then the heaviest of a random label.  So a cloud of near
@@ -121,6 +141,9 @@ def similar_links(keyed: DataFrame, sets: DataFrame, percent: int = 80) -> DataF
     """
     labels = sets.select("v", "weight", F.col("v").alias("label"))
     edges = None
+    if close is not None:
+        edges = put_down(_alike(close, sets, percent), "near-links")
+        labels = _labelled(sets, edges)
     for nth in range(ROUNDS):
         of_label = labels.groupBy("label").agg(F.max(F.struct("weight", "v")).alias("best"))
         told = keyed.join(labels.select("v", "label"), "v")
@@ -132,12 +155,17 @@ def similar_links(keyed: DataFrame, sets: DataFrame, percent: int = 80) -> DataF
         pairs = tried.groupBy(F.col("v").alias("b")).agg(F.max("reference").alias("reference")).select(F.col("reference.v").alias("a"), "b")
         found = put_down(_alike(pairs, sets, percent), "near-links")
         edges = found if edges is None else put_down(edges.union(found), "near-links")
-        roots = connected_components(edges).withColumnRenamed("v", "of")
-        labels = sets.select("v", "weight").join(roots, F.col("v") == F.col("of"), "left")
-        labels = put_down(labels.select("v", "weight", F.coalesce("root", "v").alias("label")), "near-labels")
+        labels = _labelled(sets, edges)
     return edges.union(_alike(_prefix_pairs(keyed.join(labels, "v"), sets, percent), sets, percent)).distinct()
 
 
+def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``v, weight, label``: sets with the root of their component in ``edges``."""
+    roots = connected_components(edges).withColumnRenamed("v", "of")
+    labels = sets.select("v", "weight").join(roots, F.col("v") == F.col("of"), "left")
+    return put_down(labels.select("v", "weight", F.coalesce("root", "v").alias("label")), "near-labels")
+
+
 def _prefix_pairs(told: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: pairs across labels that share one of their rarest shingles, for ``told`` of ``v, key, label``."""
     torn = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
@@ -170,21 +198,23 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     followed.  Texts without a word are alike.  A decision holds for an id and a text together: rows with a null id stay,
     and so do rows that repeat the smallest id within the group.
 
-    Sets are kept as keys at first; only those that share a key with another set are written out.
+    Sets are kept as keys at first; only those that share a key, or are close by fingerprint, are written out.
     """
     with scope():
         own = put_down(signatures(docs, shingle), "near-signatures")
         # copies of a set are alike in all columns but their text
         distinct = own.select("v", "n", "keys", "text_hash").dropDuplicates(["v"])
+        close = close_prints(own.select("v", "fp").distinct())
         every = distinct.select("v", F.explode("keys").alias("key"))
         shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         keyed = put_down(every.join(shared, "key"), "near-keys")
-        weights = keyed.groupBy("v").agg(F.sum("members").alias("weight"))
+        ends = close.select(F.explode(F.array("a", "b")).alias("v"), F.lit(1).cast("long").alias("members"))
+        weights = keyed.select("v", "members").union(ends).groupBy("v").agg(F.sum("members").alias("weight"))
         wanted = put_down(weights.join(distinct.select("v", "n", "text_hash"), "v"), "near-wanted")
         texts = docs.select(F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().cast("binary").alias("text"))
         texts = texts.join(wanted, F.col("hash") == F.col("text_hash")).dropDuplicates(["v"])
         sets = put_down(_shingled(texts, shingle), "near-sets")
-        roots = connected_components(similar_links(keyed.select("v", "key"), sets, percent)).withColumnRenamed("v", "of")
+        roots = connected_components(similar_links(keyed.select("v", "key"), sets, percent, close)).withColumnRenamed("v", "of")
         placed = own.select("doc_id", "text_hash", "v").join(roots, F.col("v") == F.col("of"), "left")
         placed = placed.select("doc_id", "text_hash", F.coalesce("root", "v").alias("root"))
         least = placed.groupBy("root").agg(F.min("doc_id").alias("least"))

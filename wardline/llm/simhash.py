@@ -54,6 +54,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
     starts = ends - lengths
     spans = zip(starts[: 1 - shingle or None].tolist(), ends[shingle - 1 :].tolist())
     hashes = np.array([hashed(joined[s:e], SEED) for s, e in spans], dtype="<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
