@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardline.llm.common import put_down, scope
-from wardline.plans.ranking import cumulative_within
+from wardline.plans.ranking import cumulative_within, rank_within
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -233,18 +233,16 @@ def _parallel(df: DataFrame) -> int:
 def learn(ruled: DataFrame, order: int = ORDER) -> tuple[DataFrame, float] | None:
     """(``url, ratio`` of every different URL, threshold) for ``ruled`` of ``url`` and a verdict or null in ``ruled``.
 
-    All URLs with a verdict are used: four in five train the models, the rest by hash calibrates the threshold.  None if
-    a class has no URL.
+    All URLs with a verdict are used: every fifth of a class, in the order of a hash, calibrates the threshold, the others
+    train the models.  None if a class has no URL.
     """
     with scope():
         urls = ruled.where(F.col("url") != "").select("url", (F.col("ruled") == "allow").alias("accepted"))
-        urls = urls.repartition(_parallel(ruled), "url").dropDuplicates(["url"])
-        urls = put_down(urls.select("url", "accepted", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1).alias("block")), "urls")
-        hashed = F.xxhash64("url")
-        # a class of few URLs has one to train on
-        least = urls.where("accepted is not null").groupBy("accepted").agg(F.min(F.struct(hashed.alias("hash"), "url"))["url"].alias("url"))
-        trains = F.col("accepted").isNotNull() & ((F.pmod(hashed, F.lit(CALIBRATES)) != 0) | F.col("url").isin([r["url"] for r in least.collect()]))
-        urls = urls.withColumn("trains", trains)
+        urls = put_down(urls.dropDuplicates(["url"]), "urls-told")
+        told = urls.where("accepted is not null").withColumn("hash", F.xxhash64("url"))
+        told = rank_within(told, ["accepted"], ["hash", "url"]).select("url", "accepted", ((F.col("rank0") + 1) % CALIBRATES != 0).alias("trains"))
+        urls = told.union(urls.where("accepted is null").select("url", "accepted", F.lit(False))).repartition(_parallel(ruled), "url")
+        urls = put_down(urls.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)), "urls")
         counted = put_down(_counted(urls, order), "url-windows")
         steps = fit(counted, order)
         if steps is None:
