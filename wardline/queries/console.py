@@ -11,7 +11,7 @@ from ..operators import console as C
 from ..operators import drift as D
 from ..operators import ledger as L
 from ..operators import merkle as M
-from ..session import settle
+from ..session import stored
 from .drifting import _drifts, closed
 from .policies import KERNEL, sample_policy
 from .registry import query
@@ -286,7 +286,7 @@ def nearest_within(spark, d):
 )
 def manifest_list(spark, d):
     """After sealing, every case whose key is 3 modulo 211 gets another confidence."""
-    sealed = settle(L.chain_manifests(closed_manifests(spark, d)))
+    sealed = stored(L.chain_manifests(closed_manifests(spark, d)), "sealed")
     hit = F.substring("case_id", 6, 20).cast("bigint") % 211 == 3
     sealed = sealed.withColumn("verdict_confidence", F.when(hit, F.col("verdict_confidence") + 1).otherwise(F.col("verdict_confidence")))
     return C.manifest_list(sealed, L.verify_manifests(sealed)).select("case_id", "tenant_id", "verdict_hash", "completed_at_ns", "chain_state")
