@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fence
-from ..session import small
+from ..session import small, stored
 from .identity import with_claim_id
 
+FEW_UNKNOWN = 256  # unknown ids up to which each claim's list is looked through for them
+
 # The rejection texts.
 EMPTY = "empty evidence list (invariant I2)"
 UNKNOWN = "evidence id(s) not present in the pinned epoch"
@@ -22,32 +24,50 @@ def judge(claims: DataFrame, pinned: DataFrame, registry: DataFrame, windows: Da
 
     ``pinned`` is (evidence_id) or (case_id, evidence_id); ``registry`` is (predicate); ``windows`` is
     (case_id, window_start_ns, window_end_ns).  The cited ids are made distinct before they meet the
-    pinned set; only ids found unknown are joined back to claims.
+    pinned set; only ids found unknown meet the claims again: as one list where they are few and every case has the same
+    pinned set (claims with one id cite the same evidence), else by a join.  Checks that need no window come before the
+    join with it, and what they found travels as a number.
     """
     named = claims if "claim_id" in claims.columns else with_claim_id(claims)
     scope = [c for c in ("case_id",) if c in pinned.columns]
     cited = named.select("case_id", "claim_id", F.explode("evidence").alias("evidence_id"))
     unknown = cited.select(*scope, "evidence_id").distinct().join(pinned, [*scope, "evidence_id"], "left_anti")
-    missing = (
-        cited.join(unknown, [*scope, "evidence_id"])
-        .groupBy("case_id", "claim_id")
-        .agg(F.array_sort(F.collect_set("evidence_id")).alias("unknown_evidence"))  # part of one claim's own list
-    )
+    few = None
+    if not scope:
+        unknown = stored(unknown.filter("evidence_id is not null"), "unknown-evidence")
+        few = [r[0] for r in unknown.limit(FEW_UNKNOWN + 1).collect()]
+    if few is not None and len(few) <= FEW_UNKNOWN:
+        these = F.array(*[F.lit(x) for x in sorted(few)]).cast("array<string>")
+        found = F.array_sort(F.array_intersect("evidence", these))
+        named = named.withColumn("unknown_evidence", F.when(F.col("case_id").isNotNull() & (F.size(found) > 0), found))
+    else:
+        named = named.join(_missing(cited, unknown, scope), ["case_id", "claim_id"], "left")
     known = small(registry.select("predicate").distinct().withColumn("_known", F.lit(True)))
+    early = F.coalesce(
+        F.when(F.coalesce(F.size("evidence"), F.lit(0)) <= 0, 0),
+        F.when(F.col("unknown_evidence").isNotNull(), 1),
+        F.when(F.col("_known").isNull(), 2),
+        F.when(F.col("interval_end_ns") < F.col("interval_start_ns"), 3),
+    )
     out = (
-        named.join(missing, ["case_id", "claim_id"], "left")
-        .join(known, "predicate", "left")
+        named.join(known, "predicate", "left")
+        .withColumn("_early", early.cast("tinyint"))
+        .drop("_known")
         .join(windows.select("case_id", "window_start_ns", "window_end_ns"), "case_id", "left")
     )
     outside = (F.col("interval_start_ns") < F.col("window_start_ns")) | (F.col("interval_end_ns") > F.col("window_end_ns"))
-    reason = F.coalesce(
-        F.when(F.coalesce(F.size("evidence"), F.lit(0)) <= 0, EMPTY),
-        F.when(F.col("unknown_evidence").isNotNull(), UNKNOWN),
-        F.when(F.col("_known").isNull(), PREDICATE),
-        F.when(F.col("interval_end_ns") < F.col("interval_start_ns"), INVERTED),
-        F.when(F.coalesce(outside, F.lit(True)), OUTSIDE),
+    texts = F.array(*[F.lit(x) for x in (EMPTY, UNKNOWN, PREDICATE, INVERTED)])
+    reason = F.when(F.col("_early").isNotNull(), F.get(texts, F.col("_early").cast("int"))).when(F.coalesce(outside, F.lit(True)), F.lit(OUTSIDE))
+    return out.withColumn("reason", reason).drop("_early", "window_start_ns", "window_end_ns")
+
+
+def _missing(cited: DataFrame, unknown: DataFrame, scope: list[str]) -> DataFrame:
+    """(case_id, claim_id, unknown_evidence) of the claims that cite an unknown id."""
+    return (
+        cited.join(small(unknown), [*scope, "evidence_id"])
+        .groupBy("case_id", "claim_id")
+        .agg(F.array_sort(F.collect_set("evidence_id")).alias("unknown_evidence"))  # part of one claim's own list
     )
-    return out.withColumn("reason", reason).drop("_known", "window_start_ns", "window_end_ns")
 
 
 def admit(claims: DataFrame, pinned: DataFrame, registry: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
